@@ -37,9 +37,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokens(tables(sf_dir, spark, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: 150% of all words, weights 3, 1, 2 in turn, at most two copies of each."""
+    from plumbline.llm.mixing import mix_report
+
+    return mix_report(tables(sf_dir, spark, "documents"))
+
+
 QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
+    "op9_mixing": op9_mixing,
 }
 
 _OP6 = r"""
