@@ -44,10 +44,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(tables(sf_dir, spark, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives, then read back from them."""
+    from plumbline.llm.shared import Scratch
+    from plumbline.llm.warc import read_warc, write_warc
+
+    back = read_warc(write_warc(tables(sf_dir, spark, "pages"), Scratch(spark, "warc")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 _OP6 = r"""
@@ -77,4 +87,14 @@ SELECT page_id, host, path, rule,
 FROM y
 """
 
-ORACLE = {"op6_url_filter": _OP6}
+_OP10 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (SELECT d, n, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n
+"""
+
+ORACLE = {"op6_url_filter": _OP6, "op10_warc": _OP10}
