@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.shared import tables
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text's and the next document's."""
+    from plumbline.llm.fingerprint import fingerprint_report
+
+    return fingerprint_report(tables(sf_dir, spark, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by five host and path rules, else by the default pattern rules."""
     from plumbline.llm.url_filter import DEFAULT_RULES, url_verdicts
@@ -54,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_fingerprint": op4_fingerprint,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_mixing": op9_mixing,
