@@ -44,6 +44,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokens(tables(sf_dir, spark, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the labelled documents."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.language import label_languages, train
+
+    docs = tables(sf_dir, spark, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    got = label_languages(docs.withColumn("held_out", held_out), train(docs), keep=["doc_id", "held_out"])
+    return got.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: 150% of all words, weights 3, 1, 2 in turn, at most two copies of each."""
     from plumbline.llm.mixing import mix_report
@@ -64,6 +76,7 @@ QUERIES = {
     "op4_fingerprint": op4_fingerprint,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
