@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.shared import tables
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by rules whose cutoffs the labelled documents of its language allow."""
+    from plumbline.llm.quality import quality_report
+
+    return quality_report(tables(sf_dir, spark, "documents"), tables(sf_dir, spark, "labels"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint against its edited text's and the next document's."""
     from plumbline.llm.fingerprint import fingerprint_report
@@ -73,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_fingerprint": op4_fingerprint,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
