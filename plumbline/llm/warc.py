@@ -145,7 +145,8 @@ def write_warc(pages: DataFrame, scratch: Scratch, page: str = "page_id", url: s
         if waiting:
             yield close()
 
-    return scratch.keep(ready.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    written = ready.mapInArrow(run, "path string, records long, bytes long")
+    return scratch.keep(written.repartition(spark.sparkContext.defaultParallelism), "manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -153,7 +154,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
     Responses are checked against their digest.
     """
-    n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = manifest.agg({"bytes": "sum"}).head()[0] or 0
+    n = max(manifest.sparkSession.sparkContext.defaultParallelism, size // ARCHIVE_BYTES)
 
     def run(batches):
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())])
