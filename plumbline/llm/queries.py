@@ -21,6 +21,13 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(tables(sf_dir, spark, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    from plumbline.llm.simhash import near_duplicates
+
+    return near_duplicates(tables(sf_dir, spark, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by five host and path rules, else by the default pattern rules."""
     from plumbline.llm.url_filter import DEFAULT_RULES, url_verdicts
@@ -82,6 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_fingerprint": op4_fingerprint,
+    "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
