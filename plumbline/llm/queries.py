@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.shared import tables
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of its repeated 200-byte strings."""
+    from plumbline.llm.substring_dedup import dedup_report
+
+    return dedup_report(tables(sf_dir, spark, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by rules whose cutoffs the labelled documents of its language allow."""
     from plumbline.llm.quality import quality_report
@@ -87,6 +94,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_fingerprint": op4_fingerprint,
     "op5_simhash": op5_simhash,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ class Scratch:
     """Intermediate tables of one run, below shared_dir. They cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex[:12]}", []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -38,6 +39,29 @@ class Scratch:
         df.write.parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def own_table(self, name: str) -> None:
+        """A catalog table that goes with this run."""
+        self.tables.append(name)
+
+    def release(self, *tables: str) -> None:
+        """Deletes tables and lets Spark delete the shuffle files of plans that are done."""
+        if tables:
+            self.drop(*tables)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Keeps the result and deletes all else of this run."""
+        name = "last"
+        out = self.keep(df, name)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for found in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at):
+            if (table := found.getPath().getName()) != name:
+                self.drop(table)
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        return out
+
     def drop(self, *tables: str) -> None:
         """Deletes tables (all if none is named) that no later plan reads."""
         for at in [self.path(t) for t in tables] or [self.root]:
