@@ -14,6 +14,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(tables(sf_dir, spark, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a suffix tree learned from nine tenths of the documents."""
+    from plumbline.llm.suffix_tree import score_report
+
+    return score_report(tables(sf_dir, spark, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by rules whose cutoffs the labelled documents of its language allow."""
     from plumbline.llm.quality import quality_report
@@ -95,6 +102,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_quality": op3_quality,
     "op4_fingerprint": op4_fingerprint,
     "op5_simhash": op5_simhash,
