@@ -105,7 +105,10 @@ def block_repeats(contexts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
     begins = np.cumsum(sizes) - sizes
     order = suffix_array(data, width)
-    shared = common_prefixes(data, order, width)
+    # neighbours whose strings' hashes differ share less than width bytes; the others are compared byte by byte
+    hashes = np.append(window_hashes(data, width), np.zeros(min(width - 1, len(data)), np.uint64))
+    near = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]]) + 1
+    shared = common_prefixes(data, order, width, near)
     label = np.empty(len(data), np.int64)
     label[order] = np.cumsum(shared < width)
     which = np.repeat(np.arange(len(contexts)), sizes)

@@ -62,61 +62,40 @@ def smaller_than_successor(data: np.ndarray) -> np.ndarray:
     step = data[:-1] != data[1:]
     rise[:-1][step] = data[:-1][step] < data[1:][step]
     ends = np.append(np.flatnonzero(step), n - 1)
-    return rise[ends[np.searchsorted(ends, np.arange(n))]]
-
-
-def _groups(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions within order sorted by group then key, and where a new (group, key) begins."""
-    by = np.lexsort((key, group))
-    g, k = group[by], key[by]
-    return by, np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+    return np.repeat(rise[ends], np.diff(ends, prepend=-1))
 
 
 def sort_directly(data: np.ndarray, words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes at, ordered by their first depth bytes, eight at a time; only ties go on.
+    """The suffixes at, ordered by their first depth bytes: eight at first, then five at a time for ties.
 
-    Suffixes equal over all depth bytes are found by a hash of those and go on as one.
+    Ties whose hashes of all depth bytes agree need no further sorting.
     """
+    n = len(data)
     if len(at) < 2:
         return at
-    n = len(data)
-    whole = np.zeros(n, np.uint64)
     hashes = window_hashes(data, depth)
+    whole = mixed(np.arange(n, dtype=np.uint64))  # those too short to have one are each their own
     whole[: len(hashes)] = hashes
-    tails = np.arange(len(hashes), n)
-    whole[tails] = mixed(tails.astype(np.uint64))  # too short: each its own
-    pairs = np.lexsort((whole[at], words[at]))
-    at = at[pairs]
-    first = np.concatenate([[True], (whole[at][1:] != whole[at][:-1]) | (words[at][1:] != words[at][:-1])])
-    copies = np.diff(np.append(np.flatnonzero(first), len(at)))
-    heads = at[first]
-    new = np.concatenate([[True], words[heads][1:] != words[heads][:-1]])
-    rank = np.flatnonzero(new)[np.cumsum(new) - 1]  # where each one's group of ties begins
-    place = np.arange(len(heads))
-    final = np.empty(len(heads), np.int64)
-    final[place] = np.arange(len(heads))
-    open_ = np.arange(len(heads))
-    result = np.arange(len(heads))
-    for skip in range(8, depth, 8):
-        size = np.bincount(rank[open_], minlength=len(heads))
-        open_ = open_[size[rank[open_]] > 1]
-        if not len(open_):
-            break
-        where = heads[open_] + skip
-        key = np.where(where < n, words[np.minimum(where, n - 1)], 0)
-        by, begin = _groups(open_, rank[open_], key)
-        moved = open_[by]
-        base = rank[moved]
-        lead = np.concatenate([[True], base[1:] != base[:-1]])
-        inside = np.arange(len(moved)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        result[base + inside] = moved
-        rank[moved] = (base + inside)[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
-        open_ = moved
-    # result[i]: the head in place i; each head is followed by its copies
-    starts = np.flatnonzero(first)
-    counts = copies[result]
-    offset = np.repeat(starts[result], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return at[offset]
+    order = at[np.argsort(words[at])]
+    key = words[order]
+    place, skip = np.arange(len(at)), 8
+    while True:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        own = whole[order[place]]
+        tied = (size > 1) & (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first))
+        open_ = np.repeat(tied, size)
+        place = place[open_]
+        if not len(place) or skip >= depth:
+            return order
+        group = np.repeat(np.arange(int(tied.sum()), dtype=np.uint64), size[tied])
+        members = order[place]
+        beyond = members + skip
+        next_ = np.where(beyond < n, words[np.minimum(beyond, n - 1)], 0) >> np.uint64(24)
+        key = (group << np.uint64(40)) | next_
+        by = np.argsort(key)
+        order[place], key, skip = members[by], key[by], skip + 5
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -154,14 +133,17 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix in order shares with the one before it, counted up to most (a multiple of eight)."""
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Bytes that each suffix in order shares with the one before it, counted up to most (a multiple of eight).
+
+    among: the places in order to look at, all from the second on by default; others count 0.
+    """
     n = len(order)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
     words, size = words_at(data), len(data)
-    i = np.arange(1, n)
+    i = np.arange(1, n) if among is None else among
     for skip in range(0, most, 8):
         a, b = order[i] + skip, order[i - 1] + skip
         inside = (a < size) & (b < size)
