@@ -26,7 +26,7 @@ DEPTH, RETAIN = 5, 2e-6
 #: The end mark, also the padding before a text; no word contains it.
 END = 0x0A
 #: So many of the most frequent words reach every task; counts of rarer ones come by a join.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 17
 _STRETCH = 512
 
 
@@ -233,6 +233,18 @@ def retained(grams: DataFrame, scratch: Scratch, depth: int = DEPTH, least: floa
     return out
 
 
+def head_count(words: DataFrame, head: int) -> int:
+    """The least count such that at most head words have it or more. Only numbers of words by count are gathered."""
+    by_count = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(head + 1).collect()
+    seen, least = 0, (by_count[0]["n"] if by_count else 0) + 1
+    for row in by_count:
+        seen += row["words"]
+        if seen > head:
+            break
+        least = row["n"]
+    return least
+
+
 def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = RETAIN, head: int = HEAD_WORDS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -252,11 +264,10 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     tree = grow(retained(grams, scratch, depth, least), depth)
     scratch.release(*(f"level{i}" for i in range(depth + 1)), "counted")
     n_train, n_kinds = total + ends, kinds + (ends > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(head).toPandas()
-    floor = (top["n"].iloc[-1], top["word"].iloc[-1]) if len(top) == head else None
-    known = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
-    del top
-    told = spark.sparkContext.broadcast((tree, known))
+    least_n = head_count(words, head)
+    top = words.where(F.col("n") >= least_n).toPandas()
+    told = spark.sparkContext.broadcast((tree, b"\n".join(map(bytes, top["word"])), top["n"].to_numpy()))
+    del top, tree
     size = n_train + 0.1 * (n_kinds + 1)
     p = lambda c: math.log10((c + 0.1) / size)
 
@@ -265,9 +276,9 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, rare array<struct<word:binary,times:int>>"
 
     def run(batches):
-        tree, known = told.value
-        logs: dict[int, float] = {c: p(c) for c in set(known.values())}
-        weight = {w: logs[c] for w, c in known.items()}
+        tree, known, counts = told.value
+        logs = {c: p(c) for c in set(counts.tolist())}
+        weight = {w: logs[c] for w, c in zip(known.split(b"\n"), counts.tolist(), strict=True)} if len(counts) else {}
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         end = p(ends)
         for batch, texts in slices(batches, "__text"):
@@ -293,11 +304,7 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
 
     scored = scratch.keep(rows.mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "scored")
     each = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
-    if floor is None:
-        tail = words.where("false")
-    else:
-        tail = words.where((F.col("n") < int(floor[0])) | ((F.col("n") == int(floor[0])) & (F.col("word") > F.lit(bytearray(floor[1])))))
-    met = each.join(tail, "word", "left")
+    met = each.join(words.where(F.col("n") < least_n), "word", "left")
     c = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(size))).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
     done = scored.drop("rare").join(sums, "row", "left")
