@@ -45,10 +45,10 @@ def bench_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """A corpus of one sentence about each part."""
+    """A corpus of one sentence about each part's price."""
     p = read(spark, sf, "part")
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
-    content = F.concat(F.lit("The retail price is $"), price, F.lit(" and the size is "), F.col("p_size").cast("string"), F.lit(" units."))
+    content = F.concat(F.lit("The listed price was $"), price, F.lit(" today."))
     return p.select(F.col("p_partkey").cast("string").alias("corpus_id"), F.lit(0).cast("long").alias("source_ord"), F.concat(F.lit("part_"), F.col("p_partkey")).alias("source_id"), content.alias("content"))
 
 
@@ -331,13 +331,13 @@ def _routed(spark, sf, threshold):
 @query
 def q_bm25_route(spark, sf):
     """Routes at a threshold that lets some claims pass and sends others to review."""
-    return _routed(spark, sf, 120.0)[1].select("claim_id", "decision", F.round("highest_score", 6).alias("highest_score"), "n_chunks")
+    return _routed(spark, sf, 40.0)[1].select("claim_id", "decision", F.round("highest_score", 6).alias("highest_score"), "n_chunks")
 
 
 @query
 def q_lexical_results(spark, sf):
     """Results of claims that pass by lexical score."""
-    scored, routed = _routed(spark, sf, 120.0)
+    scored, routed = _routed(spark, sf, 40.0)
     claims = bench_claims(spark, sf).withColumn("atoms", tx.classified_atoms(F.col("claim"))).join(routed.where(F.col("decision") == LEXICAL_PASS).select("claim_id"), "claim_id", "left_semi")
     r = results.lexical_results(claims, retrieval.routed_chunks(scored, routed, 6), whole_chunks(doc_sources(spark, sf)))
     a = F.get("atomic_claims", F.lit(0))
@@ -368,7 +368,7 @@ def q_fuzzy_disjoint(spark, sf):
 def q_pinned_chunks(spark, sf):
     """Routed chunks with the evidence's chunk added."""
     chunks = whole_chunks(doc_sources(spark, sf))
-    scored, routed = _routed(spark, sf, 120.0)
+    scored, routed = _routed(spark, sf, 40.0)
     claims = _evidence(spark, sf).where("input_ord % 3 <> 0")
     gate = fuzzy.evidence_gate(claims, chunks)
     return fuzzy.with_pinned(retrieval.routed_chunks(scored, routed, 6), gate).select("claim_id", "source_id", "ord")
@@ -442,8 +442,8 @@ def q_range_conflict(spark, sf):
     """Size ranges held against sizes: inside, outside, or wider."""
     p = read(spark, sf, "part")
     s, k = F.col("p_size"), F.col("p_partkey") % 3
-    claim = F.concat(F.lit("The size lies between "), F.when(k == 0, s - 1).when(k == 1, s + 5).otherwise(s + 1), F.lit(" and "), F.when(k == 0, s + 1).when(k == 1, s + 9).otherwise(s + 2), F.lit(" kg here"))
-    source = F.concat(F.lit("The size is "), F.when(k == 2, F.concat(s, F.lit(" to "), s + 4)).otherwise(s.cast("string")), F.lit(" kg here"))
+    claim = F.concat(F.lit("The size lies between "), F.when(k == 0, s - 1).when(k == 1, s + 5).otherwise(s + 1), F.lit(" and "), F.when(k == 0, s + 1).when(k == 1, s + 9).otherwise(s + 2), F.lit(" units here"))
+    source = F.concat(F.lit("The size is "), F.when(k == 2, F.concat(s, F.lit(" to "), s + 4)).otherwise(s.cast("string")), F.lit(" units here"))
     claims = p.select(F.col("p_partkey").cast("string").alias("claim_id"), F.col("p_partkey").cast("string").alias("corpus_id"), claim.alias("claim"))
     src = p.select(F.col("p_partkey").cast("string").alias("corpus_id"), F.lit(0).cast("long").alias("source_ord"), F.lit("s").alias("source_id"), source.alias("content"))
     return numeric.check_claims(claims, whole_chunks(src)).select("claim_id", "has_conflict", "escalate_reason")
