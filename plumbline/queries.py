@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.evaluators import prompts, responses
 from plumbline.evaluators.protocol import Overlap, adapter, response_text
@@ -377,22 +378,22 @@ def q_pinned_chunks(spark, sf):
 # --- numbers ---------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _masked(text):
     return text.map(mask_structural)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normal(text):
     return text.map(lambda t: normalize_european(normalize_accounting(t)))
 
 
-@F.pandas_udf("array<struct<value:double,raw:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("raw", T.StringType())])))
 def _numbers(text):
     return text.map(lambda t: [{"value": n.value, "raw": n.raw} for n in find_numbers(prepared(t), False)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _years(text):
     return text.map(contextual_years)
 

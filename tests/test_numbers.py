@@ -1,0 +1,98 @@
+"""Numbers, ranges, years and conflicts between them."""
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from plumbline.functions import lexicons as lex
+from plumbline.functions import quantities as q
+from plumbline.operators.numeric import check_claims
+
+CASES = [
+    ("The fee shall not exceed 300% of revenue.", "The fee shall not exceed 30% of revenue.", True, None),
+    ("Revenue was $4.2M in Q1.", "Revenue was $4.2M in Q1.", False, None),
+    ("Total H1 revenue was $15 million.", "Q1 revenue was $5 million. Q2 revenue was $10 million.", False, None),
+    ("almost 32% of patients", "31.5% of patients", False, None),
+    ("at least 100 employees", "150 employees", False, None),
+    ("at least 100 employees", "80 employees", True, None),
+    ("fewer than 5 cases", "5 cases", False, None),
+    ("fewer than 5 cases", "6 cases", True, None),
+    ("approximately $5M revenue", "$4.6M revenue", False, None),
+    ("approximately $5M revenue", "$3M revenue", True, None),
+    ("about 0% growth", "0.08% growth", False, None),
+    ("about 0% growth", "0.15% growth", True, None),
+    ("100 employees and at least 20 managers", "80 employees and 25 managers", True, None),
+    ("between 20 and 30%", "between 22 and 28%", False, None),
+    ("between 20 and 30%", "between 25 and 35%", True, None),
+    ("between 20 and 30%", "between 10 and 40%", False, "range_overlap"),
+    ("There were 3 locations.", "There were 5 reasons.", True, None),
+    ("There were 3 reasons.", "There were 5 locations.", False, None),
+    ("The price is $5/share.", "The price is $5/hour.", False, None),
+    ("profit of 50 euros", "no figures here", False, "no_source_numbers"),
+    ("Sales of 5 items in 2023", "Sales of 5 items in 2022", True, None),
+    ("Sales of 5 items in 2023", "Sales of 5 items in 2022 and 2023", False, None),
+    ("revenue of $5 million", "revenue of $5M", False, "unit_unitless_mismatch"),
+    ("1/3 of patients recovered", "1/3 of patients recovered", False, None),
+    ("revenue grew 3x", "revenue grew 2x", False, "ratio_times"),
+]
+
+
+def test_conflicts(spark):
+    claims = spark.createDataFrame([(str(i), str(i), c[0]) for i, c in enumerate(CASES)], "claim_id string, corpus_id string, claim string")
+    chunks = spark.createDataFrame([(str(i), 0, "s", 0, c[1], 0, len(c[1])) for i, c in enumerate(CASES)], "corpus_id string, source_ord long, source_id string, chunk_ord int, text_content string, char_start int, char_end int")
+    got = {int(r.claim_id): r for r in check_claims(claims, chunks).collect()}
+    wrong = [(c, got[i].has_conflict, got[i].escalate_reason) for i, c in enumerate(CASES) if (got[i].has_conflict, got[i].escalate_reason) != c[2:]]
+    assert not wrong
+    for i, c in enumerate(CASES):
+        if (cited := got[i].citation) and cited.excerpt:
+            assert c[1][cited.excerpt_char_start : cited.excerpt_char_end] == cited.excerpt
+
+
+def test_matching_chunk_settles_a_claim(spark):
+    claims = spark.createDataFrame([("c", "k", "There were 80 employees.")], "claim_id string, corpus_id string, claim string")
+    chunks = spark.createDataFrame([("k", i, f"s{i}", 0, t, 0, len(t)) for i, t in enumerate(["There were 70 employees.", "We have 80 employees."])], "corpus_id string, source_ord long, source_id string, chunk_ord int, text_content string, char_start int, char_end int")
+    assert not check_claims(claims, chunks).head().has_conflict
+
+
+@pytest.mark.parametrize("raw, value", [("1,000,000", 1e6), ("$4.2", 4.2), ("-5%", -5), ("$4.2M", 4.2e6), ("50bps", 0.5), ("1.234,56", 1234.56), ("12,5", 12.5), ("EUR 5", 5), ("+3k", 3000)])
+def test_parse_number(raw, value):
+    assert q.parse_number(raw) == pytest.approx(value)
+
+
+def test_parse_number_refuses():
+    with pytest.raises(ValueError):
+        q.parse_number("")
+    with pytest.raises(TypeError):
+        q.parse_number(None)
+
+
+@pytest.mark.parametrize("text, found", [("10–20%", [(10, 20)]), ("10 to $20", [(10, 20)]), ("between 20 and 30%", [(20, 30)]), ("ages 18-65", [(18, 65)]), ("$10M–$20M revenue", [(1e7, 2e7)]), ("10–20M", [(1e7, 2e7)]), ("between 20 and 30.0.0%", []), ("at least 20", []), ("", [])])
+def test_ranges(text, found):
+    assert [(lo, hi) for lo, hi, _ in q.find_ranges(text)] == found
+
+
+@pytest.mark.parametrize("text, reason", [("a 2:1 ratio", "ratio_notation"), ("in the 1980s", "decade_reference"), ("an 8 out of 10 rating", "score_expression"), ("rose 3pp", "percentage_points"), ("FY2024-25 results", "abbreviated_year_range"), ("one-third completed", "fraction"), ("1/3 completed", "fraction"), ("one hundred and fifty thousand jobs were created", "verbal_compound_split"), ("the ratio was 1.234", "eu_integer_ambiguous"), ("several of 5 people", "vague_quantifier")])
+def test_reviewed(text, reason):
+    assert q.read_claim(text)["reason"] == reason
+
+
+def test_lexicon_sizes():
+    assert (len(lex.RHETORICAL), len(lex.MEASURABLE_UNITS), len(lex.COUNTED), len(lex.STRUCTURAL), len(lex.STOPWORDS)) == (50, 83, 256, 24, 40)
+
+
+@given(st.text(alphabet="0123456789 .,()$%ab-\nSectionfigQ", max_size=60))
+def test_mask_keeps_length(text):
+    assert len(q.mask_structural(text)) == len(text)
+
+
+@given(st.text(alphabet="0123456789 .,()$%kmé-–/half a", max_size=60))
+def test_reading_never_fails(text):
+    q.read_claim(text)
+    q.read_chunk(text)
+
+
+def test_years_and_hedges():
+    assert q.contextual_years("in 2022 and 2023, code 1234, FY2024, Q3 2021") == ["2022", "2023", "2021", "2024"]
+    assert q.hedge("at least 20 people", 9) == "lower"
+    assert q.hedge("no more than 20", 13) == "upper"
+    assert q.hedge("It ended. 20 people", 10) is None
