@@ -25,9 +25,9 @@ MIN_SCORE = 0.3
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = language.label_languages(docs, language.train(docs))
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = language.label_languages(docs, language.train(docs), names=("__told", "__score"))
+    kept = told.where((F.col("__told") != "und") & (F.col("__score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "__told")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
