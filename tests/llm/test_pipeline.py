@@ -1,0 +1,61 @@
+"""The pipeline on a small table, each stage against a plain version on the stage's own input."""
+
+import hashlib
+import random
+
+import corpus_pipeline
+from plumbline.llm import mixing, simhash
+from plumbline.llm.shared import Scratch
+
+from .test_operators import slow_components, slow_dedup, slow_fingerprint
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows():
+    r = random.Random(11)
+    kinds = {"en": ["the", "ing", "wh"], "es": ["ció", "nar", "que"]}
+    make = lambda k, n: " ".join("".join(r.choice(kinds[k]) for _ in range(r.randint(2, 5))) for _ in range(n))
+    out = [(make(k, r.randint(40, 160)), k) for k in list(kinds) * 20]
+    passage = make("en", 60)
+    out += [(make("en", 30) + " " + passage + " " + make("en", 30), "en") for _ in range(3)]
+    out += out[:4] + [("12345 67890", "en"), ("", None), (None, "en")]
+    return [(i, t, k, ["s1", "s2", None][i % 3], len(t or "")) for i, (t, k) in enumerate(out)]
+
+
+def test_stages(spark):
+    scratch = Scratch(spark, "test")
+    docs = scratch.keep(spark.createDataFrame(rows(), SCHEMA), "in")
+    seen = {"in": docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = scratch.keep(stage(spark, docs, None), name)
+        if name != "tokens":
+            assert docs.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+        seen[name] = docs.collect()
+
+    kept = {r.doc_id for r in seen["language"]}
+    assert kept == {r[0] for r in rows() if r[1] and r[1][0].isalpha()}
+
+    prints = {r.doc_id: slow_fingerprint(r.text) for r in seen["language"]}
+    comp, least = slow_components(set(prints.values())), {}
+    for i, p in prints.items():
+        least[comp[p]] = min(least.get(comp[p], i), i)
+    assert sorted(r.doc_id for r in seen["near_duplicates"]) == sorted(least.values())
+
+    texts = [r.text.encode() for r in seen["near_duplicates"]]
+    want = {r.doc_id: w[3] for r, w in zip(seen["near_duplicates"], slow_dedup(texts, 200), strict=True)}
+    got = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in seen["repeated_strings"]}
+    clean = {r.doc_id for r, w in zip(seen["near_duplicates"], slow_dedup(texts, 200), strict=True) if not w[1]}
+    assert clean <= set(got) and all(got[i] == want[i] for i in got)
+    assert any(w[1] for w in slow_dedup(texts, 200)) and all(r.n_chars == len(r.text) for r in seen["repeated_strings"])
+
+    copies = sum(r.copies for r in mixing.mix_report(spark.createDataFrame(seen["repeated_strings"], SCHEMA)).collect())
+    assert len(seen["mixing"]) == copies and {r.doc_id for r in seen["mixing"]} <= set(got)
+    assert len(seen["tokens"]) == copies and all(r.n_tokens == len(r.token_ids) for r in seen["tokens"])
+    assert {r.doc_id: r.decoded_sha256 for r in seen["tokens"]} == {r.doc_id: got[r.doc_id] for r in seen["mixing"]}
+    assert simhash.ERRORS == 4
+
+
+def test_run(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
