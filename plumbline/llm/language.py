@@ -278,8 +278,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(training_sample(docs.where(learnable(key)), key, text, lang))
 
 
-def label_languages(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all by default), lang_pred and score, of whole texts; a narrow map.
+def label_languages(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep (all by default) and, by names, language and score of whole texts; a narrow map.
 
     A null text, or one without a letter, gets `und` and score 0, as does every text where nothing was learned.
     Equal texts get equal results. The model's size is fixed by BUCKETS and the number of languages.
@@ -287,14 +287,14 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", keep: lis
     keep = docs.columns if keep is None else keep
     told = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    out = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    out = rows.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
         model = told.value
         for batch, texts in slices(batches, "__text", 2 << 20):
             got = predict(texts, model)
             own = [batch.column(n) for n in keep]
-            fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
+            fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
             yield batch_of(pa.schema(fields), *own, [x for x, _ in got], [x for _, x in got])
 
     return rows.mapInArrow(run, out)
