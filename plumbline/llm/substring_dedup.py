@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Scratch, batch_of, slices
-from plumbline.llm.suffix_array import common_prefixes, suffix_array, window_hashes
+from plumbline.llm.suffix_array import common_prefixes, smaller_than_successor, suffix_array, window_hashes
 
 WIDTH, GRAM = 200, 40
 #: Bytes of contexts sorted at once; contexts of one hash in a part.
@@ -104,12 +104,20 @@ def block_repeats(contexts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray
     data = np.frombuffer(b"".join(c + bytes([_END]) for c in contexts), np.uint8)
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
     begins = np.cumsum(sizes) - sizes
-    order = suffix_array(data, width)
+    # where strings start, and on to the next suffix of type B: what places those of type A before it
+    is_b = smaller_than_successor(data)
+    starts = np.maximum(sizes - width, 0)
+    b = np.flatnonzero(is_b)
+    last = b[np.minimum(np.searchsorted(b, begins + starts), len(b) - 1)]
+    wanted = np.zeros(len(data) + 1, np.int64)
+    np.add.at(wanted, begins[starts > 0], 1)
+    np.add.at(wanted, last[starts > 0] + 1, -1)
+    order = suffix_array(data, width, is_b, np.cumsum(wanted[:-1]) > 0)
     # neighbours whose strings' hashes differ share less than width bytes; the others are compared byte by byte
     hashes = np.append(window_hashes(data, width), np.zeros(min(width - 1, len(data)), np.uint64))
     near = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]]) + 1
     shared = common_prefixes(data, order, width, near)
-    label = np.empty(len(data), np.int64)
+    label = np.zeros(len(data), np.int64)
     label[order] = np.cumsum(shared < width)
     which = np.repeat(np.arange(len(contexts)), sizes)
     start = np.arange(len(data)) - begins[which]
@@ -195,8 +203,9 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
     texts = spark.table(table)
     found = scratch.keep(texts.mapInArrow(find, "digest binary, hash long, content long, first int, starts int, copied boolean"), "anchors")
     again = found.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or("copied").alias("copied")).where("n > 1 OR copied").select("hash")
+    again = scratch.keep(again, "again")  # as a table, so that the join can split a hash that very many contexts have
     open_ = scratch.keep(found.join(again, "hash"), "candidates")
-    scratch.release("anchors")
+    scratch.release("anchors", "again")
     # one row for each different context, with one place to read it at
     each = open_.groupBy("hash", "content").agg((F.bool_or("copied") | (F.count("*") > 1)).alias("many"), F.min(F.struct("digest", "first", "starts")).alias("place"))
     each = scratch.keep(each.select("hash", "content", "many", "place.*"), "contexts")

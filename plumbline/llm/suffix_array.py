@@ -98,16 +98,22 @@ def sort_directly(data: np.ndarray, words: np.ndarray, at: np.ndarray, depth: in
         order[place], key, skip = members[by], key[by], skip + 5
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of data, ordered by their first depth bytes."""
+def suffix_array(data: np.ndarray, depth: int, is_b: np.ndarray | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of data, ordered by their first depth bytes.
+
+    is_b: smaller_than_successor(data), if at hand. wanted: the suffixes to sort, all by default; a wanted one of
+    type A must have a wanted successor, which is what places it.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    is_b = smaller_than_successor(data)
-    b = sort_directly(data, words_at(data), np.flatnonzero(is_b), depth)
+    is_b = smaller_than_successor(data) if is_b is None else is_b
+    wanted = np.ones(n, bool) if wanted is None else wanted
+    b = sort_directly(data, words_at(data), np.flatnonzero(is_b & wanted), depth)
     b_ends = np.searchsorted(data[b], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[-1]].append(np.array([n - 1]))  # what the empty suffix puts
+    if wanted[-1]:
+        waiting[data[-1]].append(np.array([n - 1]))  # what the empty suffix puts
     out = []
     for c in range(256):
         induced = []
@@ -115,7 +121,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         while len(wave):
             induced.append(wave)
             before = wave[wave > 0] - 1
-            wave = before[data[before] == c]
+            wave = before[(data[before] == c) & wanted[before]]
         own = np.concatenate([*induced, b[b_ends[c] : b_ends[c + 1]]])
         waiting[c] = []
         if not len(own):
@@ -123,14 +129,15 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         out.append(own)
         before = own[own > 0] - 1
         first = data[before]
-        before, first = before[first > c], first[first > c]
+        up = (first > c) & wanted[before]
+        before, first = before[up], first[up]
         by = np.argsort(first, kind="stable")
         before, first = before[by], first[by]
         cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
         if len(before):
             for part in np.split(before, cuts):
                 waiting[data[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, among: np.ndarray | None = None) -> np.ndarray:
