@@ -320,13 +320,15 @@ def q_bm25_scores(spark, sf):
 
 @query
 def q_bm25_topk(spark, sf):
-    t = retrieval.top_chunks(retrieval.scores(bench_claims(spark, sf), whole_chunks(doc_sources(spark, sf))), 6)
+    claims, chunks = bench_claims(spark, sf), whole_chunks(doc_sources(spark, sf))
+    t = retrieval.top_chunks(retrieval.scores(claims, chunks), claims, chunks, 6)
     return t.select("claim_id", "source_ord", "rank")
 
 
 def _routed(spark, sf, threshold):
-    scored = retrieval.scores(bench_claims(spark, sf), whole_chunks(doc_sources(spark, sf)))
-    return scored, retrieval.routes(scored, threshold, GENERAL.top_k)
+    claims, chunks = bench_claims(spark, sf), whole_chunks(doc_sources(spark, sf))
+    scored = retrieval.scores(claims, chunks)
+    return scored, retrieval.routes(scored, claims, chunks, threshold, GENERAL.top_k)
 
 
 @query
@@ -340,7 +342,8 @@ def q_lexical_results(spark, sf):
     """Results of claims that pass by lexical score."""
     scored, routed = _routed(spark, sf, 40.0)
     claims = bench_claims(spark, sf).withColumn("atoms", tx.classified_atoms(F.col("claim"))).join(routed.where(F.col("decision") == LEXICAL_PASS).select("claim_id"), "claim_id", "left_semi")
-    r = results.lexical_results(claims, retrieval.routed_chunks(scored, routed, 6), whole_chunks(doc_sources(spark, sf)))
+    chunks = whole_chunks(doc_sources(spark, sf))
+    r = results.lexical_results(claims, retrieval.routed_chunks(scored, routed, chunks, 6), chunks)
     a = F.get("atomic_claims", F.lit(0))
     return r.select("claim_id", "status", "verification_method", "factual_consistency_score", F.array_join("sources_used", ",").alias("sources_used"), a["claim_type"].alias("claim_type"), a["citation"]["source_id"].alias("cited"), a["citation"]["excerpt_char_end"].alias("excerpt_end"))
 
@@ -372,7 +375,7 @@ def q_pinned_chunks(spark, sf):
     scored, routed = _routed(spark, sf, 40.0)
     claims = _evidence(spark, sf).where("input_ord % 3 <> 0")
     gate = fuzzy.evidence_gate(claims, chunks)
-    return fuzzy.with_pinned(retrieval.routed_chunks(scored, routed, 6), gate).select("claim_id", "source_id", "ord")
+    return fuzzy.with_pinned(retrieval.routed_chunks(scored, routed, chunks, 6), gate).select("claim_id", "source_id", "ord")
 
 
 # --- numbers ---------------------------------------------------------------------------------------------
