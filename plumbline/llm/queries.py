@@ -150,4 +150,20 @@ SELECT page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n
 """
 
-ORACLE = {"op6_url_filter": _OP6, "op10_warc": _OP10}
+_OP1 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM e),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i FROM w SEMI JOIN t USING (m)),
+g AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1) AS fresh FROM s),
+k AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+x AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY r, run),
+y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM x),
+z AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""
+
+ORACLE = {"op1_suffix_dedup": _OP1, "op6_url_filter": _OP6, "op10_warc": _OP10}
