@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+#: Row groups of intermediate tables: a writer holds one in memory.
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 #: One text may be larger than this; otherwise so many bytes of text are worked on at once.
 SLICE_BYTES = 4 << 20
 
@@ -36,7 +38,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         """Writes df as Parquet and returns it as read again."""
-        df.write.parquet(self.path(table))
+        df.write.options(**ROW_GROUP).parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def own_table(self, name: str) -> None:

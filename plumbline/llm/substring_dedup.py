@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import Scratch, batch_of, slices
+from plumbline.llm.shared import ROW_GROUP, Scratch, batch_of, slices
 from plumbline.llm.suffix_array import common_prefixes, smaller_than_successor, suffix_array, window_hashes
 
 WIDTH, GRAM = 200, 40
 #: Bytes of contexts sorted at once; contexts of one hash in a part.
-BLOCK_BYTES, PART_CONTEXTS = 2 << 20, 4096
+BLOCK_BYTES, PART_CONTEXTS = 1 << 20, 4096
 _END = 0xFF  # never in UTF-8
 
 
@@ -182,7 +182,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
     packed = docs.select(F.col(text).alias("__text")).mapInArrow(pack, "digest binary, packed binary")
     table = f"plumbline_texts_{scratch.root.rsplit('-', 1)[1]}"
     once = packed.groupBy("digest").agg(F.first("packed").alias("packed"), (F.count("*") > 1).alias("copied"))
-    once.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").saveAsTable(table)
+    once.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").options(**ROW_GROUP).saveAsTable(table)
     scratch.own_table(table)
 
     def find(batches):
@@ -260,7 +260,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
             yield done
 
     ready = contexts.repartition(parts, "hash", "part").sortWithinPartitions("hash", "part")
-    settled = scratch.keep(ready.mapInArrow(sort, "hash long, content long, a int, b int, string binary"), "settled")
+    settled = scratch.keep(ready.mapInArrow(sort, "hash long, content long, a int, b int, string binary").hint("rebalance"), "settled")
     # strings that two parts of one hash have
     shared = settled.where("string IS NOT NULL").groupBy("hash", "string").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("content").isNotNull(), F.struct("content", "a", "b"))).alias("at")).where("n > 1")
     across = shared.select("hash", F.explode("at").alias("at")).select("hash", "at.content", "at.a", "at.b")
@@ -280,11 +280,10 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
                 left = [kept_bytes(t, run) for (_, t), run in zip(some, runs, strict=True)]
                 yield batch_of(schema, [digests[r] for r, _ in some], [len(t) - len(k) for (_, t), k in zip(some, left, strict=True)], [len(run) for run in runs], [hashlib.sha256(k).hexdigest() for k in left], [press.compress(k) for k in left])
 
-    result = texts.join(gone, "digest").mapInArrow(remove, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return scratch.keep(result, "result")
+    return texts.join(gone, "digest").mapInArrow(remove, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _by_bytes(packed: pa.Array, tool, limit: int = 2 << 20) -> Iterator[list[tuple[int, bytes]]]:
+def _by_bytes(packed: pa.Array, tool, limit: int = 1 << 20) -> Iterator[list[tuple[int, bytes]]]:
     """Row numbers and texts, about limit bytes at a time."""
     some, size = [], 0
     for i in range(len(packed)):
@@ -320,7 +319,7 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     result = repeated(docs, scratch, text, **how).drop("kept")
-    rows = scratch.keep(_keyed(docs, [key], text), "keyed").join(result, F.col("__digest") == F.col("digest"), "left")
+    rows = _keyed(docs, [key], text).join(result, F.col("__digest") == F.col("digest"), "left")
     out = rows.select(F.col(key).alias("doc_id"), F.col("__bytes").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "__sha256").alias("kept_sha256"))
     return scratch.last(out)
 
