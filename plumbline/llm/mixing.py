@@ -198,7 +198,8 @@ def mix_report(docs: DataFrame, times: int = 2, **how) -> DataFrame:
     mix = plan_mix(docs, times=times, **how)
     rows = mix.rows.join(F.broadcast(mix.plan), "__pattern")
     copies = F.when(F.col("__size") > 0, copies_of(F.col("__order"), times)).otherwise(0)
-    return rows.select(F.col("__key").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).alias("taken"), copies.alias("copies"))
+    out = rows.select(F.col("__key").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).alias("taken"), copies.alias("copies"))
+    return mix.scratch.last(out)
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", times: int = 2, seed: int = 17, **how) -> DataFrame:

@@ -204,13 +204,13 @@ def quality_report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     repeated key counts for each. Empty tables give an empty result, no labels no cutoffs. Other columns are
     not read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("__stratum"), F.col(text).alias("__text"))
-    stats = Scratch(spark, "quality").keep(statistics(base, ["doc_id", "__stratum"], "__text"), "statistics").withColumns(rule_values())
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.keep(statistics(base, ["doc_id", "__stratum"], "__text"), "statistics").withColumns(rule_values())
     cutoffs = choose_cutoffs(stats, labels.select(F.col(key).alias("doc_id"), "quality"), "doc_id", "__stratum", "quality", rules, risk, level)
     cuts = cutoffs.select("stratum", F.struct(*[r.name for r in rules]).alias("cut"))
     judged = stats.join(cuts, F.col("__stratum").eqNullSafe(F.col("stratum")), "left")
     hits = [F.when(F.col(r.name) > F.col(f"cut.{r.name}"), r.name) for r in rules]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rejected = F.when(failed, "base").otherwise(F.coalesce(*hits))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rejected.isNull().alias("kept"), rejected.alias("rejected_by"))
+    return scratch.last(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rejected.isNull().alias("kept"), rejected.alias("rejected_by")))

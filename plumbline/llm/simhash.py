@@ -224,14 +224,13 @@ def _by_trie(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut], [*cut, len(keys)], strict=True))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
     """Per document: key, __fp and component_id, the smallest key that links lead to.
 
     Copies share a fingerprint and are joined as one; documents without words have fingerprint zero and link like
     any other. Null keys take part in links but are never a component_id, unless a component has no other.
     Repeated rows get equal results; an empty table an empty one.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprint_table(docs.select(F.col(key), F.col(text)), [key], text, width), "prints")
     nodes = scratch.keep(prints.groupBy("__fp").agg(F.min(key).alias("least")), "nodes")
     roots = connected(links(nodes, errors), scratch)
@@ -243,12 +242,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id."""
-    found = classes(docs, key, text)
-    return found.select(F.col(key).alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = classes(docs, scratch, key, text)
+    return scratch.last(found.select(F.col(key).alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one whose key is component_id (of equal rows, one)."""
-    found = classes(docs, key, text)
-    chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__chosen")).distinct()
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = classes(docs, scratch, key, text)
+    chosen = scratch.last(found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__chosen")).distinct())
     return docs.join(chosen, F.col(key).eqNullSafe(F.col("__chosen")), "left_semi").dropDuplicates([key])
