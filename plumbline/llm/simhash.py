@@ -224,19 +224,20 @@ def _by_trie(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut], [*cut, len(keys)], strict=True))
 
 
-def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
-    """Per document: key, __fp and component_id, the smallest key that links lead to.
+def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = SHINGLE, errors: int = ERRORS, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: key, also, __fp, __root and component_id, the smallest key that links lead to.
 
-    Copies share a fingerprint and are joined as one; documents without words have fingerprint zero and link like
+    __root is the component's smallest fingerprint and its name where keys are null or repeated. Copies share a
+    fingerprint and are joined as one; documents without words have fingerprint zero and link like
     any other. Null keys take part in links but are never a component_id, unless a component has no other.
     Repeated rows get equal results; an empty table an empty one.
     """
-    prints = scratch.keep(fingerprint_table(docs.select(F.col(key), F.col(text)), [key], text, width), "prints")
+    prints = scratch.keep(fingerprint_table(docs.select(F.col(key), F.col(text), *also), [key, *also], text, width), "prints")
     nodes = scratch.keep(prints.groupBy("__fp").agg(F.min(key).alias("least")), "nodes")
     roots = connected(links(nodes, errors), scratch)
-    placed = nodes.join(roots, F.col("__fp") == F.col("node"), "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(names, "root").select("__fp", "component_id")
+    placed = nodes.join(roots, F.col("__fp") == F.col("node"), "left").select("__fp", "least", F.coalesce("root", "__fp").alias("__root"))
+    names = placed.groupBy("__root").agg(F.min("least").alias("component_id"))
+    named = placed.join(names, "__root").select("__fp", "__root", "component_id")
     return prints.join(named, "__fp")
 
 
@@ -248,8 +249,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one whose key is component_id (of equal rows, one)."""
+    """docs with one row of each component: of its smallest key (null only if it has no other) and, of that, the least text digest.
+
+    Rows of one key or without a key are told apart by their texts, so each component keeps its own; of rows equal
+    in key and text, one stays.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    found = classes(docs, scratch, key, text)
-    chosen = scratch.last(found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__chosen")).distinct())
-    return docs.join(chosen, F.col(key).eqNullSafe(F.col("__chosen")), "left_semi").dropDuplicates([key])
+    told = docs.withColumn("__digest", F.sha2(F.col(text).cast("binary"), 256))
+    found = classes(told, scratch, key, text, also=("__digest",))
+    first = found.groupBy("__root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "__digest")).alias("x"))
+    chosen = scratch.last(first.select(F.col("x.key").alias("__key"), F.col("x.__digest").alias("__chosen")))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__digest").eqNullSafe(F.col("__chosen"))
+    return told.join(chosen, same, "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")

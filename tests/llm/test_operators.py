@@ -277,6 +277,17 @@ def test_simhash(docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values())) and kept.columns == docs.columns
 
 
+def test_keep_one_tells_rows_of_one_key_apart(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (3, d), (3, f), (3, f), (4, f), (None, ""), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, str(t)[:3]) for i, t in rows], "doc_id long, text string, lang string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    got = Counter((x.doc_id, x.text or "") for x in kept.collect())
+    assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, e), (3, f), (None, "")])
+
+
 @pytest.mark.parametrize("subtrie", [1_000_000, 7])
 def test_trie_join_loses_no_link(spark, subtrie):
     rng = random.Random(1)
