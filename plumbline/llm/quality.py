@@ -1,11 +1,14 @@
 """Quality rules whose thresholds keep false rejections within a stated risk.
 
-Each rule compares one statistic of a text with a cutoff. Labelled documents of good quality are the holdout:
-for every stratum and rule, candidate cutoffs are tested from the mildest to the strictest with the exact
-binomial (Clopper-Pearson) bound, and the strictest of those passed before the first failure is taken. Going
-in that fixed order needs no correction within a rule; over rules and strata the error level is divided
-(Bonferroni), and the tolerated share of false rejections is divided over the rules, so that all rules
-together reject no more than RISK of a stratum's good documents, at confidence 1 - LEVEL for all strata at once.
+Each rule compares one statistic of a text with a cutoff. Labelled documents of good quality are the holdout. A
+cutoff at a document of the holdout spends one block: by Tukey's statistically equivalent blocks, the chance that
+a new good document falls above any of the cutoffs of k blocks together is Beta(k, n - k + 1), whatever the
+statistics' distributions and however they depend on each other; ties and overlaps only lessen it. So each stratum
+spends, over all its rules together, the most blocks whose chance is at most RISK at confidence 1 - LEVEL divided
+by the strata (Bonferroni). Blocks are dealt to the rules in turn.
+A rule's blocks go along a chain: its own grid from the mildest to the strictest step, then those of the rules
+after it, round to the one before; a document's place is that of the first step that rejects it. The chain passes
+up to its documents' first places, as many as it has blocks, and a rule takes the strictest step any chain passed.
 """
 
 from __future__ import annotations
@@ -153,41 +156,48 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return 1 - front * _beta_fraction(b, a, p) / b
 
 
-def cutoff(counts: list[int], n: int, steps: tuple[float, ...], risk: float, level: float) -> float | None:
-    """The strictest step before the first whose upper bound exceeds risk. counts[i]: good documents above step i.
+def blocks_within(n: int, risk: float, level: float) -> int:
+    """The most blocks of n documents whose share exceeds risk with a probability of at most level.
 
-    The exact upper bound at the level is at most risk just if so few or fewer rejections have a probability of
-    at most level under risk.
+    The share of k blocks, Beta(k, n - k + 1), exceeds risk just if fewer than k of n documents fall within risk.
     """
-    best = None
-    for step, k in zip(steps, counts, strict=True):
-        if binomial_at_most(k, n, risk) > level:
-            break
-        best = step
-    return best
+    low, high = 0, n
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if binomial_at_most(k - 1, n, risk) <= level else (low, k - 1)
+    return low
 
 
 def choose_cutoffs(values: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", good: str = "quality", rules: tuple[Rule, ...] = RULES, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """A row for each stratum with labelled good documents: stratum, holdout size and a cutoff (or null) for each rule.
 
-    values has key, stratum and a column for each rule. All labelled rows count: each becomes, for each rule,
-    the number of steps it exceeds, and only counts by stratum, rule and number are shuffled further.
+    values has key, stratum and a column for each rule. All labelled rows count: each becomes, for each rule's
+    chain, its place on it, and only counts by stratum, chain and place are shuffled further.
     """
     marked = values.join(labels.where(F.col(good) == 1).select(F.col(key).alias("__key")), F.col(key) == F.col("__key"))
     exceeded = lambda r: F.size(F.filter(F.lit(list(r.steps)), lambda s: F.col(r.name) > s))
-    each = marked.select(F.col(stratum).alias("stratum"), F.posexplode(F.array(*[exceeded(r) for r in rules])).alias("rule", "over"))
-    counts = each.groupBy("stratum", "rule", "over").agg(F.count("*").alias("n"))
+    over = marked.select(F.col(stratum).alias("stratum"), *[exceeded(r).alias(r.name) for r in rules])
+    sizes, n = [len(r.steps) for r in rules], len(rules)
+    end = sum(sizes)
+    # where each rule's grid starts on each chain
+    offset = [{(c + j) % n: sum(sizes[(c + i) % n] for i in range(j)) for j in range(n)} for c in range(n)]
+    # a value exceeds the last `over` steps of a grid that falls, so step size - over is the first it exceeds
+    place = lambda c: F.array_min(F.array(*[F.when(F.col(r.name) > 0, F.lit(offset[c][i] + sizes[i]) - F.col(r.name)).otherwise(end) for i, r in enumerate(rules)]))
+    each = over.select("stratum", F.posexplode(F.array(*map(place, range(n)))).alias("chain", "place"))
+    counts = each.groupBy("stratum", "chain", "place").agg(F.count("*").alias("n"))
     strata = max(1, counts.select("stratum").distinct().count())
     names = [r.name for r in rules]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0], "n_good": int(pdf.loc[pdf["rule"] == 0, "n"].sum())}
-        for i, rule in enumerate(rules):
-            own = pdf[pdf["rule"] == i]
-            hit = np.bincount(own["over"], weights=own["n"], minlength=len(rule.steps) + 1).astype(int)
-            # a value exceeds the last `over` steps of a grid that falls: step i is exceeded if over >= len - i
-            above = np.cumsum(hit[::-1])[: len(rule.steps)]
-            row[rule.name] = cutoff(above.tolist(), row["n_good"], rule.steps, risk / len(rules), level / (strata * len(rules)))
+        row = {"stratum": pdf["stratum"].iloc[0], "n_good": int(pdf.loc[pdf["chain"] == 0, "n"].sum())}
+        blocks, passed = blocks_within(row["n_good"], risk, level / strata), [0] * n
+        for c in range(n):
+            if share := blocks // n + (c < blocks % n):
+                own = pdf[pdf["chain"] == c].sort_values("place")
+                upto = int(own["place"].iloc[int((own["n"].cumsum() < share).sum())])
+                passed = [max(k, min(sizes[i], upto - offset[c][i])) for i, k in enumerate(passed)]
+        for rule, k in zip(rules, passed, strict=True):
+            row[rule.name] = rule.steps[k - 1] if k else None
         return pd.DataFrame([row], columns=["stratum", "n_good", *names])
 
     schema = "stratum string, n_good long, " + ", ".join(f"{n} double" for n in names)
@@ -199,7 +209,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows; such documents are never
     kept. Others are kept unless a rule's statistic is above its stratum's cutoff; a stratum without enough
-    labels has no cutoffs and keeps them. Null and empty texts have no words and fail the base. A null stratum
+    labels for one block has no cutoffs and keeps them. Null and empty texts have no words and fail the base. A null stratum
     is one of its own; null keys match no label; repeated keys each get their own row, and a label on a
     repeated key counts for each. Empty tables give an empty result, no labels no cutoffs. Other columns are
     not read.

@@ -196,6 +196,22 @@ def test_cutoffs_keep_the_risk(spark):
     assert quality.binomial_at_most(strict, 4000, 0.05) > 0.05 / 2
 
 
+def test_rules_share_the_risk(spark):
+    rules = tuple(quality.Rule(n, tuple(i / 50 for i in range(50, 0, -1))) for n in ("a", "b", "c", "d", "e"))
+    rng = np.random.default_rng(4)
+    rows = [(s * 10_000 + i, lang, *((rng.random(5) * 0.3).tolist() if n > 217 else [0.0] * 5)) for s, (lang, n) in enumerate((("x", 217), ("y", 216), ("z", 700), ("w", 6000))) for i in range(n)]
+    values = spark.createDataFrame(rows, "doc_id long, lang string, a double, b double, c double, d double, e double")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    cuts = {r.stratum: r for r in quality.choose_cutoffs(values, labels, rules=rules).collect()}
+    assert [cuts["y"][r.name] for r in rules] == [None] * 5
+    assert [cuts["x"][r.name] for r in rules] == [0.02] * 5
+    assert all(cuts[lang][r.name] <= 0.3 for lang in ("z", "w") for r in rules)
+    for lang in ("z", "w"):
+        own = [r[2:] for r in rows if r[1] == lang]
+        hit = sum(any(v > cuts[lang][r.name] for v, r in zip(x, rules, strict=True)) for x in own)
+        assert quality.binomial_at_most(hit, len(own), 0.02) <= 0.05 / 4
+
+
 # --- fingerprints ---------------------------------------------------------------------------------------
 
 
