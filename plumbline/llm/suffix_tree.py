@@ -2,11 +2,12 @@
 
 A text is lower-cased (A-Z) and its words, runs without ASCII white space, are joined by one space and closed
 by an end mark. The tree's contexts are the last few bytes, at most DEPTH of them. All contexts of the training
-texts are counted; one is retained if its next-byte distribution diverges enough from that of the context one
-byte shorter: probability of the context times the Kullback-Leibler divergence above RETAIN. The sum of that
-quantity over the contexts of one length is below log 256, so at most log 256 / RETAIN of each length are
-retained, whatever the corpus. Distributions are smoothed by mixing in the shorter context's (Witten-Bell) down to
-a uniform one. Scores follow the longest retained suffix, as an automaton over many stretches of text at once.
+texts are counted; one is retained if the evidence that its next bytes differ from those of the context one byte
+shorter (its count times the Kullback-Leibler divergence) is above EVIDENCE for each different next byte. That does
+not depend on the size of the corpus, so the tree grows with it. Distributions are smoothed by mixing in the
+shorter context's (Witten-Bell) down to a uniform one, and scores follow the longest retained suffix. The tree stays
+in tables, a level each: probabilities of the most frequent grams (context and next byte), a fixed number, reach
+every task, those of all others come by joins.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Scratch, batch_of, slices
 
-DEPTH, RETAIN = 5, 2e-6
+#: Bytes of context (with the next byte they fill a 64-bit number); nats for each different next byte.
+DEPTH, EVIDENCE = 7, 3.0
 #: The end mark, also the padding before a text; no word contains it.
 END = 0x0A
 #: So many of the most frequent words reach every task; counts of rarer ones come by a join.
 HEAD_WORDS = 1 << 17
+#: So many of the most frequent grams reach every task; others come by a join.
+HEAD_GRAMS = 1 << 19
 _STRETCH = 512
 
 
@@ -97,7 +101,7 @@ class Tree:
 
 
 def grow(nodes: list[tuple[int, int, int, int]], depth: int) -> Tree:
-    """A tree from (length, context, next byte, count) rows of the retained contexts, which include the empty one."""
+    """A tree from (length, context, next byte, count) rows of the retained contexts, which include the empty one. For trees that fit a machine."""
     by_context: dict[tuple[int, int], dict[int, int]] = {}
     for length, context, byte, n in nodes:
         by_context.setdefault((length, context), {})[byte] = n
@@ -168,6 +172,24 @@ def score_lines(lines: list[bytes], tree: Tree) -> np.ndarray:
     return np.add.reduceat(flat, np.cumsum(sizes) - sizes) if len(lines) else np.zeros(0)
 
 
+def score_grams(lines: list[bytes], keys: np.ndarray, logp: np.ndarray, depth: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Sums of the log10 probabilities of each line's grams that are in the sorted keys, and its other grams with their times."""
+    grams = grams_of(lines, depth)
+    sizes = np.array([len(x) + 1 for x in lines], np.int64)
+    at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+    hit = keys[at] == grams if len(keys) else np.zeros(len(grams), bool)
+    told = np.where(hit, logp[at], 0).astype(np.float64) if len(keys) else np.zeros(len(grams))
+    score = np.add.reduceat(told, np.cumsum(sizes) - sizes) if len(lines) else np.zeros(0)
+    owner, odd = np.repeat(np.arange(len(lines)), sizes)[~hit], grams[~hit]
+    by = np.lexsort((odd, owner))
+    owner, odd = owner[by], odd[by]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (odd[1:] != odd[:-1])])) if len(odd) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(odd))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(odd[new].view(np.int64)), pa.array(times)], ["gram", "times"])
+    offsets = np.searchsorted(owner[new], np.arange(len(lines) + 1)).astype(np.int32)
+    return score, pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
 def learning(key: str = "doc_id"):
     """False for the held-out tenth: crc32 of the key as text modulo 10 is 0. Null keys are not learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(10)) != 0, F.lit(False))
@@ -207,30 +229,50 @@ def counted(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFram
     return docs.select(text).mapInArrow(run, "word binary, gram long, n long")
 
 
-def retained(grams: DataFrame, scratch: Scratch, depth: int = DEPTH, least: float = RETAIN) -> list[tuple[int, int, int, int]]:
-    """(length, context, next byte, count) of the contexts that pass the divergence test, and of the empty one.
+def context_of(gram: str, length: int):
+    """The last length bytes of a gram's context."""
+    return F.shiftrightunsigned(gram, 8).bitwiseAND((1 << (8 * length)) - 1)
+
+
+def grow_levels(grams: DataFrame, scratch: Scratch, depth: int = DEPTH, least: float = EVIDENCE) -> list[tuple[DataFrame, DataFrame]]:
+    """For each length: (context, byte, n) of all contexts seen and (context, all, kinds) of those retained.
 
     grams: gram, n. Counts of shorter contexts are sums of longer ones', as every byte has depth bytes before it.
     """
     levels = [None] * (depth + 1)
-    now = grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
     for length in range(depth, -1, -1):
-        if length < depth:
-            now = levels[length + 1].groupBy(F.col("context").bitwiseAND((1 << (8 * length)) - 1).alias("context"), "byte").agg(F.sum("n").alias("n"))
-        levels[length] = now = scratch.keep(now, f"level{length}")
-    total = levels[0].agg(F.sum("n")).head()[0] or 0
-    out = [(0, 0, r["byte"], r["n"]) for r in levels[0].collect()]
+        if length == depth:
+            levels[length] = grams.select(context_of("gram", length).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
+            continue
+        now = levels[length + 1].groupBy(F.col("context").bitwiseAND((1 << (8 * length)) - 1).alias("context"), "byte").agg(F.sum("n").alias("n"))
+        levels[length] = scratch.keep(now, f"level{length}")
+    kept = [scratch.keep(levels[0].groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")), "kept0")]
     for length in range(1, depth + 1):
-        sums = levels[length].groupBy("context").agg(F.sum("n").alias("all"))
         up_sums = levels[length - 1].groupBy("context").agg(F.sum("n").alias("up_all"))
         shorter = F.col("context").bitwiseAND((1 << (8 * (length - 1))) - 1)
         up = levels[length - 1].join(up_sums, "context").select(F.col("context").alias("shorter"), "byte", (F.col("n") / F.col("up_all")).alias("q"))
-        own = levels[length].join(sums, "context").withColumn("shorter", shorter).join(up, ["shorter", "byte"])
-        share = F.sum(F.col("n") * F.ln(F.col("n") / F.col("all") / F.col("q"))) / F.lit(total)
-        chosen = own.groupBy("context").agg(share.alias("gain")).where(F.col("gain") > least).select("context")
-        rows = levels[length].join(chosen, "context").select("context", "byte", "n").toPandas()
-        out += list(zip([length] * len(rows), rows["context"].tolist(), rows["byte"].tolist(), rows["n"].tolist(), strict=True))
-    return out
+        own = levels[length].withColumn("shorter", shorter).join(up, ["shorter", "byte"])
+        gain = F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))) - F.sum("n") * F.ln(F.sum("n"))
+        judged = own.groupBy("context").agg(gain.alias("gain"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        kept.append(scratch.keep(judged.where(F.col("gain") > least * F.col("kinds")).select("context", "all", "kinds"), f"kept{length}"))
+        scratch.release()
+    return list(zip(levels, kept, strict=True))
+
+
+def probabilities(asked: DataFrame, levels: list[tuple[DataFrame, DataFrame]], scratch: Scratch, name: str) -> DataFrame:
+    """gram, logp (log10 of the next byte's probability after the context) for each different gram asked, seen or not."""
+    known, depth = None, len(levels) - 1
+    for length, (seen, kept) in enumerate(levels):
+        now = asked.select(context_of("gram", length).alias("context"), F.col("gram").bitwiseAND(255).alias("byte")).distinct()
+        if known is None:
+            now = now.withColumn("q", F.lit(1 / 256))
+        else:
+            now = now.withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (length - 1))) - 1)).join(known, ["shorter", "byte"])
+        now = now.join(kept, "context", "left").join(seen, ["context", "byte"], "left")
+        mixed = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("q")) / (F.col("all") + F.col("kinds"))
+        now = scratch.keep(now.select(F.col("context").alias("shorter"), "byte", F.coalesce(mixed, "q").alias("q")), f"{name}{length}")
+        known = now
+    return known.select(F.shiftleft("shorter", 8).bitwiseOR(F.col("byte")).alias("gram"), F.log10("q").alias("logp"))
 
 
 def head_count(words: DataFrame, head: int) -> int:
@@ -245,12 +287,13 @@ def head_count(words: DataFrame, head: int) -> int:
     return least
 
 
-def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = RETAIN, head: int = HEAD_WORDS) -> DataFrame:
+def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = EVIDENCE, head: int = HEAD_WORDS, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words and one end. base_score is the smoothed unigram log10 probability of the tokens,
     score the tree's log10 probability of the text. The head most frequent words' counts reach all tasks; a text's
-    rarer words are counted by a join on the word, one row for each text and word. Null texts are empty: one
+    rarer words are counted by a join on the word, one row for each text and word, and the tree's probabilities of
+    grams go the same way. Null texts are empty: one
     token. Null keys are scored but not held out or learned from; repeated rows are scored alike; an empty table
     gives an empty one, and without training texts all distributions are uniform. Only key and text are read.
     """
@@ -258,32 +301,37 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     scratch = Scratch(spark, "suffix-tree")
     raw = scratch.keep(counted(docs.where(learning(key)), text, depth), "counted")
     words = scratch.keep(raw.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    grams = raw.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = scratch.keep(raw.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     ends = raw.where("word IS NULL AND gram IS NULL").agg(F.sum("n")).head()[0] or 0
+    scratch.release("counted")
     kinds, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
-    tree = grow(retained(grams, scratch, depth, least), depth)
-    scratch.release(*(f"level{i}" for i in range(depth + 1)), "counted")
+    levels = grow_levels(grams, scratch, depth, least)
+    common = probabilities(grams.where(F.col("n") >= head_count(grams, head_grams)), levels, scratch, "common").toPandas()
+    head_keys = common["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(head_keys)
+    head_keys, head_logp = head_keys[by], common["logp"].to_numpy().astype(np.float32)[by]
+    scratch.release(*(f"common{i}" for i in range(depth + 1)))
     n_train, n_kinds = total + ends, kinds + (ends > 0)
     least_n = head_count(words, head)
     top = words.where(F.col("n") >= least_n).toPandas()
-    told = spark.sparkContext.broadcast((tree, b"\n".join(map(bytes, top["word"])), top["n"].to_numpy()))
-    del top, tree
+    told = spark.sparkContext.broadcast((head_keys, head_logp, b"\n".join(map(bytes, top["word"])), top["n"].to_numpy()))
+    del top, common, head_keys, head_logp
     size = n_train + 0.1 * (n_kinds + 1)
     p = lambda c: math.log10((c + 0.1) / size)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), (~learning(key) & F.col(key).isNotNull()).alias("held_out"))
     kind = docs.schema[key].dataType.simpleString()
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, rare array<struct<word:binary,times:int>>"
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, rare array<struct<word:binary,times:int>>, odd array<struct<gram:long,times:int>>"
 
     def run(batches):
-        tree, known, counts = told.value
+        head_keys, head_logp, known, counts = told.value
         logs = {c: p(c) for c in set(counts.tolist())}
         weight = {w: logs[c] for w, c in zip(known.split(b"\n"), counts.tolist(), strict=True)} if len(counts) else {}
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         end = p(ends)
         for batch, texts in slices(batches, "__text"):
             both = [token_line(t) for t in texts]
-            score = score_lines([x for _, x in both], tree)
+            score, odd = score_grams([x for _, x in both], head_keys, head_logp, depth)
             base, n_head, rare = [], [], []
             for own, _ in both:
                 got = list(map(weight.get, own))
@@ -299,13 +347,16 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
                     rare.append([])
                 base.append(math.fsum(got) + end)
                 n_head.append(len(own) - n_rare + (ends > 0))
-            fields = [("doc_id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", rare_type)]
-            yield batch_of(pa.schema(fields), batch.column(0), batch.column(2), [len(w) + 1 for w, _ in both], n_head, base, pa.array(score), rare)
+            fields = [("doc_id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", rare_type), ("odd", odd.type)]
+            yield batch_of(pa.schema(fields), batch.column(0), batch.column(2), [len(w) + 1 for w, _ in both], n_head, base, pa.array(score), rare, odd)
 
     scored = scratch.keep(rows.mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "scored")
     each = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
     met = each.join(words.where(F.col("n") < least_n), "word", "left")
     c = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(size))).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
-    done = scored.drop("rare").join(sums, "row", "left")
-    return scratch.last(done.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score"))
+    rare = scratch.keep(scored.select("row", F.explode("odd").alias("x")).select("row", "x.gram", "x.times"), "odd")
+    logp = probabilities(rare.select("gram").distinct(), levels, scratch, "asked")
+    tails = rare.join(logp, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("tail"))
+    done = scored.drop("rare", "odd").join(sums, "row", "left").join(tails, "row", "left")
+    return scratch.last(done.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score")))

@@ -159,6 +159,43 @@ def test_tree_is_a_distribution_and_matches_a_walk():
     assert np.allclose(suffix_tree.score_lines(texts, tree), want, rtol=1e-4)
 
 
+def test_tree_grows_with_the_corpus_and_is_scored_whole(docs, spark):
+    lines = {i: b" ".join(t.encode().lower().split()) for i, t in texts_of().items()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    counts, depth = [defaultdict(Counter) for _ in range(8)], 7
+    for r in corpus():
+        if r[0] is not None and not held(r[0]):
+            s = b"\n" * depth + lines[r[0]] + b"\n"
+            for i in range(depth, len(s)):
+                for d in range(depth + 1):
+                    counts[d][s[i - d : i]][s[i]] += 1
+
+    def retained(times):
+        kept = [(0, b"")]
+        for d in range(1, depth + 1):
+            for c, own in counts[d].items():
+                up = counts[d - 1][c[1:]]
+                gain = sum(n * np.log(n / sum(own.values()) / (up[b] / sum(up.values()))) for b, n in own.items())
+                kept += [(d, c)] if times * gain > suffix_tree.EVIDENCE * len(own) else []
+        return kept
+
+    kept = retained(1)
+    assert any(d == depth for d, _ in kept)
+    tree = suffix_tree.grow([(d, int.from_bytes(c, "big"), b, n) for d, c in kept for b, n in counts[d][c].items()], depth)
+    want = dict(zip(lines, suffix_tree.score_lines(list(lines.values()), tree), strict=True))
+    for head_grams in (1 << 19, 50):
+        got = by_id(suffix_tree.score_report(docs, head_grams=head_grams))
+        assert all(r.score == pytest.approx(want[i], rel=1e-4) for i, r in got.items())
+
+    grams = spark.createDataFrame([(int.from_bytes(c + bytes([b]), "big", signed=False) - ((1 << 64) if c[0] >> 7 else 0), n) for c, own in counts[depth].items() for b, n in own.items()], "gram long, n long")
+    sizes = []
+    for k in (1, 20):
+        levels = suffix_tree.grow_levels(grams.withColumn("n", F.col("n") * k), Scratch(spark, "t"))
+        sizes.append([kept.count() for _, kept in levels])
+        assert sum(sizes[-1]) == len(retained(k))
+    assert sum(sizes[1]) > 2 * sum(sizes[0])
+
+
 # --- quality --------------------------------------------------------------------------------------------
 
 
