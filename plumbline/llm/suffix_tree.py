@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Scratch, batch_of, slices
 
-#: Bytes of context (with the next byte they fill a 64-bit number); nats for each different next byte.
-DEPTH, EVIDENCE = 7, 3.0
+#: Bytes of context (with the next byte they are at most a 64-bit number); nats for each different next byte.
+DEPTH, EVIDENCE = 6, 3.0
 #: The end mark, also the padding before a text; no word contains it.
 END = 0x0A
 #: So many of the most frequent words reach every task; counts of rarer ones come by a join.
 HEAD_WORDS = 1 << 17
-#: So many of the most frequent grams reach every task; others come by a join.
-HEAD_GRAMS = 1 << 19
+#: So many of the most frequent grams reach every task (12 bytes each); others come by a join.
+HEAD_GRAMS = 1 << 21
+#: Different grams or words that a counting task holds before it passes them on; bytes of text looked up at once.
+_HELD, _LOOKED_UP = 1 << 21, 2 << 20
 _STRETCH = 512
 
 
@@ -60,33 +62,17 @@ def grams_of(lines: list[bytes], depth: int) -> np.ndarray:
     return out[counts[depth:]]
 
 
-class Tally:
-    """Sums of numbers by key in sorted arrays, merged as they grow."""
-
-    def __init__(self, limit: int = 1 << 21):
-        self.limit, self.parts, self.size = limit, [], 0
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(keys)
-        self.size += len(keys)
-        if self.size >= self.limit:
-            self.merge()
-
-    def merge(self) -> None:
-        if self.parts:
-            keys = np.concatenate(self.parts)
-            keys.sort()
-            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(new, len(keys)))
-            keys = np.concatenate([self.keys, keys[new]])
-            sums = np.concatenate([self.sums, counts])
-            by = np.argsort(keys, kind="stable")
-            keys, sums = keys[by], sums[by]
-            if len(keys):
-                new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                self.keys, self.sums = keys[new], np.add.reduceat(sums, new)
-        self.parts, self.size = [], 0
+def added(keys: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and their sums, with one more for each of the keys in more."""
+    own = np.concatenate(more)
+    own.sort()
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    keys = np.concatenate([keys, own[new]])
+    sums = np.concatenate([sums, np.diff(np.append(new, len(own)))])
+    by = np.argsort(keys, kind="stable")
+    keys, sums = keys[by], sums[by]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(sums, new)
 
 
 @dataclass(frozen=True)
@@ -173,14 +159,21 @@ def score_lines(lines: list[bytes], tree: Tree) -> np.ndarray:
 
 
 def score_grams(lines: list[bytes], keys: np.ndarray, logp: np.ndarray, depth: int) -> tuple[np.ndarray, pa.ListArray]:
-    """Sums of the log10 probabilities of each line's grams that are in the sorted keys, and its other grams with their times."""
+    """Sums of the log10 probabilities of each line's grams that are in the sorted keys, and its other grams with their times.
+
+    Grams are looked up in order, which reads the keys once instead of at random.
+    """
     grams = grams_of(lines, depth)
-    sizes = np.array([len(x) + 1 for x in lines], np.int64)
-    at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-    hit = keys[at] == grams if len(keys) else np.zeros(len(grams), bool)
-    told = np.where(hit, logp[at], 0).astype(np.float64) if len(keys) else np.zeros(len(grams))
-    score = np.add.reduceat(told, np.cumsum(sizes) - sizes) if len(lines) else np.zeros(0)
-    owner, odd = np.repeat(np.arange(len(lines)), sizes)[~hit], grams[~hit]
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    by = np.argsort(grams)
+    ordered = grams[by]
+    told, hit = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)
+        hit = keys[at] == ordered
+        told[by] = np.where(hit, logp[at], 0)
+    score = np.add.reduceat(told, ends - [len(x) + 1 for x in lines])
+    odd, owner = ordered[~hit], np.searchsorted(ends, by[~hit], "right")
     by = np.lexsort((odd, owner))
     owner, odd = owner[by], odd[by]
     new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (odd[1:] != odd[:-1])])) if len(odd) else np.zeros(0, np.int64)
@@ -195,38 +188,58 @@ def learning(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(10)) != 0, F.lit(False))
 
 
-def counted(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """Partial counts of all words (word set), grams (gram set) and ends (neither set) of whole texts, by task."""
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: the words of whole texts."""
 
     def run(batches):
         from collections import Counter
 
-        schema = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
-        def words_out(words) -> Iterator[pa.RecordBatch]:
+        def out(words) -> Iterator[pa.RecordBatch]:
             items = list(words.items())
             for i in range(0, len(items), 1 << 16):
                 part = items[i : i + (1 << 16)]
-                yield batch_of(schema, [w for w, _ in part], pa.nulls(len(part), pa.int64()), [n for _, n in part])
+                yield batch_of(schema, [w for w, _ in part], [n for _, n in part])
 
-        tally, words, ends = Tally(), Counter(), 0
+        words = Counter()
         for _, texts in slices(batches, text):
-            both = [token_line(t) for t in texts]
-            for own, _ in both:
-                words.update(own)
-            ends += len(both)
-            tally.add(grams_of([line for _, line in both], depth))
-            if len(words) > 1 << 20:
-                yield from words_out(words)
+            for t in texts:
+                words.update(t.lower().split())
+            if len(words) > _HELD // 4:
+                yield from out(words)
                 words.clear()
-        yield from words_out(words)
-        tally.merge()
-        for i in range(0, len(tally.keys), 1 << 17):
-            part = tally.keys[i : i + (1 << 17)]
-            yield batch_of(schema, pa.nulls(len(part), pa.binary()), pa.array(part.view(np.int64)), pa.array(tally.sums[i : i + (1 << 17)]))
-        yield batch_of(schema, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), [ends])
+        yield from out(words)
+
+    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return docs.select(text).mapInArrow(run, "word binary, gram long, n long")
+def count_grams(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """gram, n: contexts of depth bytes with the next byte, of whole texts. A task sends each of those it holds once."""
+
+    def run(batches):
+        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+
+        def out(keys, sums) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(keys), 1 << 17):
+                yield batch_of(schema, pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(sums[i : i + (1 << 17)]))
+
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        (keys, sums), more, size = none, [], 0
+        for _, texts in slices(batches, text, _LOOKED_UP):
+            more.append(grams_of([token_line(t)[1] for t in texts], depth))
+            size += len(more[-1])
+            if size >= _HELD:
+                keys, sums = added(keys, sums, more)
+                more, size = [], 0
+            if len(keys) >= _HELD:
+                yield from out(keys, sums)
+                keys, sums = none
+        if size:
+            keys, sums = added(keys, sums, more)
+        yield from out(keys, sums)
+
+    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def context_of(gram: str, length: int):
@@ -299,11 +312,12 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
-    raw = scratch.keep(counted(docs.where(learning(key)), text, depth), "counted")
-    words = scratch.keep(raw.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    grams = scratch.keep(raw.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    ends = raw.where("word IS NULL AND gram IS NULL").agg(F.sum("n")).head()[0] or 0
-    scratch.release("counted")
+    learned = docs.where(learning(key))
+    ends = learned.select(key).count()
+    words = scratch.keep(count_words(learned, text), "words")
+    scratch.release()
+    grams = scratch.keep(count_grams(learned, text, depth), "grams")
+    scratch.release()
     kinds, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     levels = grow_levels(grams, scratch, depth, least)
     common = probabilities(grams.where(F.col("n") >= head_count(grams, head_grams)), levels, scratch, "common").toPandas()
@@ -329,7 +343,7 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
         weight = {w: logs[c] for w, c in zip(known.split(b"\n"), counts.tolist(), strict=True)} if len(counts) else {}
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         end = p(ends)
-        for batch, texts in slices(batches, "__text"):
+        for batch, texts in slices(batches, "__text", _LOOKED_UP):
             both = [token_line(t) for t in texts]
             score, odd = score_grams([x for _, x in both], head_keys, head_logp, depth)
             base, n_head, rare = [], [], []

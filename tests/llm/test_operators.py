@@ -162,7 +162,8 @@ def test_tree_is_a_distribution_and_matches_a_walk():
 def test_tree_grows_with_the_corpus_and_is_scored_whole(docs, spark):
     lines = {i: b" ".join(t.encode().lower().split()) for i, t in texts_of().items()}
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    counts, depth = [defaultdict(Counter) for _ in range(8)], 7
+    depth = suffix_tree.DEPTH
+    counts = [defaultdict(Counter) for _ in range(depth + 1)]
     for r in corpus():
         if r[0] is not None and not held(r[0]):
             s = b"\n" * depth + lines[r[0]] + b"\n"
