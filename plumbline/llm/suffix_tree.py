@@ -5,35 +5,38 @@ by an end mark. The tree's contexts are the last few bytes, at most DEPTH of the
 texts are counted; one is retained if the evidence that its next bytes differ from those of the context one byte
 shorter (its count times the Kullback-Leibler divergence) is above EVIDENCE for each different next byte. That does
 not depend on the size of the corpus, so the tree grows with it. Distributions are smoothed by mixing in the
-shorter context's (Witten-Bell) down to a uniform one, and scores follow the longest retained suffix. The tree stays
-in tables, a level each: probabilities of the most frequent grams (context and next byte), a fixed number, reach
-every task, those of all others come by joins.
+shorter context's (Witten-Bell) down to a uniform one, and scores follow the longest retained suffix.
+
+A gram is a context of DEPTH bytes with the next byte. Every gram that occurs in any text, learned from or not, is a
+row of one table with its training count, so each has its probability there. All contexts with the same last bytes
+are in one task, which walks down their part of the tree: counts of a context are sums of longer ones'. The most
+frequent grams, a fixed number, reach every scoring task; the others come by a join.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Scratch, batch_of, slices
 
 #: Bytes of context (with the next byte they are at most a 64-bit number); nats for each different next byte.
 DEPTH, EVIDENCE = 6, 3.0
+#: Contexts of so many bytes have tables of their own; longer ones are walked in tasks by their last SHORT + 1 bytes.
+SHORT = 3
 #: The end mark, also the padding before a text; no word contains it.
 END = 0x0A
 #: So many of the most frequent words reach every task; counts of rarer ones come by a join.
 HEAD_WORDS = 1 << 17
 #: So many of the most frequent grams reach every task (12 bytes each); others come by a join.
 HEAD_GRAMS = 1 << 21
-#: Different grams or words that a counting task holds before it passes them on; bytes of text looked up at once.
-_HELD, _LOOKED_UP = 1 << 21, 2 << 20
-_STRETCH = 512
+#: Different grams that a counting task holds before it passes them on; bytes of text looked up, rows walked at once.
+_HELD, _LOOKED_UP, _WALKED = 1 << 21, 2 << 20, 1 << 19
 
 
 def token_line(text: bytes) -> tuple[list[bytes], bytes]:
@@ -75,87 +78,29 @@ def added(keys: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[n
     return keys[new], np.add.reduceat(sums, new)
 
 
-@dataclass(frozen=True)
-class Tree:
-    """An automaton: column of each byte; next state and log10 probability by state x column; its start."""
-
-    column: np.ndarray
-    move: np.ndarray
-    logp: np.ndarray
-    start: int
-    depth: int
-
-
-def grow(nodes: list[tuple[int, int, int, int]], depth: int) -> Tree:
-    """A tree from (length, context, next byte, count) rows of the retained contexts, which include the empty one. For trees that fit a machine."""
-    by_context: dict[tuple[int, int], dict[int, int]] = {}
-    for length, context, byte, n in nodes:
-        by_context.setdefault((length, context), {})[byte] = n
-    by_context.setdefault((0, 0), {})
-    seen = sorted({b for c in by_context.values() for b in c} | {END, 0x20})
-    column = np.full(256, len(seen), np.int64)  # the last column: each byte never seen
-    column[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    # every prefix of a retained context is a state too, so that the automaton knows how one begins
-    states = set(by_context)
-    for length, context in list(by_context):
-        for cut in range(1, length):
-            states.add((length - cut, context >> (8 * cut)))
-    order = sorted(states)
-    place = {s: i for i, s in enumerate(order)}
-
-    def longest(length: int, context: int) -> int:
-        while (length, context) not in place:
-            length -= 1
-            context &= (1 << (8 * length)) - 1
-        return place[length, context]
-
-    prob = np.zeros((len(order), width))
-    move = np.zeros((len(order), width), np.int32)
-    for i, (length, context) in enumerate(order):
-        base = np.full(width, 1 / 256) if not length else prob[longest(length - 1, context & ((1 << (8 * (length - 1))) - 1))]
-        if own := by_context.get((length, context)):
-            total, kinds = sum(own.values()), len(own)
-            counts = np.zeros(width)
-            counts[column[list(own)]] = list(own.values())
-            base = (counts + kinds * base) / (total + kinds)
-        prob[i] = base
-    for i, (length, context) in enumerate(order):
-        for k, byte in enumerate(seen):
-            full, size = (context << 8) | byte, length + 1
-            if size > depth:
-                size, full = depth, full & ((1 << (8 * depth)) - 1)
-            move[i, k] = longest(size, full)
-        move[i, -1] = place[0, 0]
-    begin = int.from_bytes(bytes([END]) * depth, "big")
-    return Tree(column, move.ravel(), np.log10(prob).astype(np.float32).ravel(), longest(depth, begin), depth)
-
-
-def score_lines(lines: list[bytes], tree: Tree) -> np.ndarray:
-    """log10 probability of each line with its end mark."""
-    data, counts = _sequence(lines, tree.depth)
-    n, width = len(data), int(tree.column.max()) + 1
-    symbols = tree.column[data].astype(np.int32)
-    k = -(-n // _STRETCH)
-    padded = np.zeros(k * _STRETCH, np.int32)
-    padded[:n] = symbols
-    grid = np.ascontiguousarray(padded.reshape(k, _STRETCH).T)
-    # a state follows from the last depth bytes: each stretch first reads those before it
-    warm = np.full((tree.depth, k), tree.column[END], np.int32)
-    if k > 1:
-        warm[:, 1:] = grid[-tree.depth :, :-1]
-    state = np.full(k, tree.start, np.int32)
-    for row in warm:
-        state = tree.move[state * width + row]
-    out = np.empty((_STRETCH, k), np.float32)
-    for i in range(_STRETCH):
-        at = state * width + grid[i]
-        out[i] = tree.logp[at]
-        state = tree.move[at]
-    flat = out.T.ravel()[:n].astype(np.float64)
-    flat[~counts] = 0
-    sizes = np.array([len(x) + 1 + tree.depth for x in lines], np.int64)
-    return np.add.reduceat(flat, np.cumsum(sizes) - sizes) if len(lines) else np.zeros(0)
+def deeper(codes: np.ndarray, n: np.ndarray, q: np.ndarray, p: np.ndarray, least: float, root: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level of the tree: shares, probabilities and whether the context is retained, for each row.
+
+    codes: context and next byte; n: training counts; q, p: the byte's share and probability after the context one
+    byte shorter. Rows of a context must all be there. The root is always retained.
+    """
+    kinds_of, first, back = np.unique(codes, return_index=True, return_inverse=True)
+    own = np.bincount(back, n, len(kinds_of))
+    context = kinds_of >> np.uint64(8)
+    new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    at = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
+    total, kinds = np.add.reduceat(own, new), np.add.reduceat((own > 0).astype(np.int64), new)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.add.reduceat(np.where(own > 0, own * np.log(own / q[first]), 0), new) - np.where(total > 0, total * np.log(total), 0)
+        kept = (root | (gain > least * kinds)) & (total > 0)
+        mixed = (own + kinds[at] * p[first]) / (total + kinds)[at]
+        share = np.where(total[at] > 0, own / total[at], 0)
+    return share[back], np.where(kept[at], mixed, p[first])[back], kept[at][back]
+
+
+def _bytes(codes: np.ndarray, count: int) -> np.ndarray:
+    """The last count bytes of numbers."""
+    return codes & np.uint64((1 << (8 * count)) - 1)
 
 
 def score_grams(lines: list[bytes], keys: np.ndarray, logp: np.ndarray, depth: int) -> tuple[np.ndarray, pa.ListArray]:
@@ -214,90 +159,145 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """gram, n: contexts of depth bytes with the next byte, of whole texts. A task sends each of those it holds once."""
+def count_grams(docs: DataFrame, learned, text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """gram, n, m of whole texts: n counts it where learned (a boolean expression) holds, m everywhere.
+
+    A task sends each of those it holds once.
+    """
 
     def run(batches):
-        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = {True: none, False: none}
 
-        def out(keys, sums) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 1 << 17):
-                yield batch_of(schema, pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(sums[i : i + (1 << 17)]))
+        def out() -> Iterator[pa.RecordBatch]:
+            for learn, (keys, sums) in held.items():
+                for i in range(0, len(keys), 1 << 17):
+                    m = sums[i : i + (1 << 17)]
+                    yield batch_of(schema, pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(m if learn else np.zeros_like(m)), pa.array(m))
+                held[learn] = none
 
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        (keys, sums), more, size = none, [], 0
-        for _, texts in slices(batches, text, _LOOKED_UP):
-            more.append(grams_of([token_line(t)[1] for t in texts], depth))
-            size += len(more[-1])
-            if size >= _HELD:
-                keys, sums = added(keys, sums, more)
-                more, size = [], 0
-            if len(keys) >= _HELD:
-                yield from out(keys, sums)
-                keys, sums = none
-        if size:
-            keys, sums = added(keys, sums, more)
-        yield from out(keys, sums)
+        more, size = {True: [], False: []}, 0
 
-    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        def take() -> None:
+            for learn, parts in more.items():
+                if parts:
+                    held[learn] = added(*held[learn], parts)
+                    parts.clear()
 
+        for batch, texts in slices(batches, "__text", _LOOKED_UP):
+            learn = batch.column("learn").to_pylist()
+            for kind in (True, False):
+                if lines := [token_line(t)[1] for t, x in zip(texts, learn, strict=True) if x == kind]:
+                    more[kind].append(grams_of(lines, depth))
+                    size += len(more[kind][-1])
+            if size >= _HELD:
+                take()
+                size = 0
+            if max(len(keys) for keys, _ in held.values()) >= _HELD:
+                yield from out()
+        take()
+        yield from out()
 
-def context_of(gram: str, length: int):
-    """The last length bytes of a gram's context."""
-    return F.shiftrightunsigned(gram, 8).bitwiseAND((1 << (8 * length)) - 1)
+    rows = docs.select(F.col(text).alias("__text"), learned.alias("learn"))
+    return rows.mapInArrow(run, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def grow_levels(grams: DataFrame, scratch: Scratch, depth: int = DEPTH, least: float = EVIDENCE) -> list[tuple[DataFrame, DataFrame]]:
-    """For each length: (context, byte, n) of all contexts seen and (context, all, kinds) of those retained.
+def _last(code: str, count: int):
+    return F.col(code).bitwiseAND((1 << (8 * count)) - 1)
 
-    grams: gram, n. Counts of shorter contexts are sums of longer ones', as every byte has depth bytes before it.
-    """
-    levels = [None] * (depth + 1)
-    for length in range(depth, -1, -1):
-        if length == depth:
-            levels[length] = grams.select(context_of("gram", length).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[list[np.ndarray]]:
+    """Columns (the first a code) of rows sorted by group, the bytes of its context that stay together, cut between groups."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        now = levels[length + 1].groupBy(F.col("context").bitwiseAND((1 << (8 * length)) - 1).alias("context"), "byte").agg(F.sum("n").alias("n"))
-        levels[length] = scratch.keep(now, f"level{length}")
-    kept = [scratch.keep(levels[0].groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")), "kept0")]
-    for length in range(1, depth + 1):
-        up_sums = levels[length - 1].groupBy("context").agg(F.sum("n").alias("up_all"))
-        shorter = F.col("context").bitwiseAND((1 << (8 * (length - 1))) - 1)
-        up = levels[length - 1].join(up_sums, "context").select(F.col("context").alias("shorter"), "byte", (F.col("n") / F.col("up_all")).alias("q"))
-        own = levels[length].withColumn("shorter", shorter).join(up, ["shorter", "byte"])
-        gain = F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))) - F.sum("n") * F.ln(F.sum("n"))
-        judged = own.groupBy("context").agg(gain.alias("gain"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        kept.append(scratch.keep(judged.where(F.col("gain") > least * F.col("kinds")).select("context", "all", "kinds"), f"kept{length}"))
-        scratch.release()
-    return list(zip(levels, kept, strict=True))
-
-
-def probabilities(asked: DataFrame, levels: list[tuple[DataFrame, DataFrame]], scratch: Scratch, name: str) -> DataFrame:
-    """gram, logp (log10 of the next byte's probability after the context) for each different gram asked, seen or not."""
-    known, depth = None, len(levels) - 1
-    for length, (seen, kept) in enumerate(levels):
-        now = asked.select(context_of("gram", length).alias("context"), F.col("gram").bitwiseAND(255).alias("byte")).distinct()
-        if known is None:
-            now = now.withColumn("q", F.lit(1 / 256))
-        else:
-            now = now.withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (length - 1))) - 1)).join(known, ["shorter", "byte"])
-        now = now.join(kept, "context", "left").join(seen, ["context", "byte"], "left")
-        mixed = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("q")) / (F.col("all") + F.col("kinds"))
-        now = scratch.keep(now.select(F.col("context").alias("shorter"), "byte", F.coalesce(mixed, "q").alias("q")), f"{name}{length}")
-        known = now
-    return known.select(F.shiftleft("shorter", 8).bitwiseOR(F.col("byte")).alias("gram"), F.log10("q").alias("logp"))
-
-
-def head_count(words: DataFrame, head: int) -> int:
-    """The least count such that at most head words have it or more. Only numbers of words by count are gathered."""
-    by_count = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(head + 1).collect()
-    seen, least = 0, (by_count[0]["n"] if by_count else 0) + 1
-    for row in by_count:
-        seen += row["words"]
-        if seen > head:
-            break
-        least = row["n"]
-    return least
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= _WALKED:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            part = _bytes(columns[0].view(np.uint64) >> np.uint64(8), group)
+            cut = int(np.argmax(part == part[-1]))
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], len(part) - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def grow(grams: DataFrame, scratch: Scratch, depth: int = DEPTH, least: float = EVIDENCE) -> DataFrame:
+    """gram, m, logp (log10 of the byte's probability after the longest retained suffix) and order (that suffix's length).
+
+    grams: gram, n, m. Bytes after one byte of context are at most 2 ** 16 and known everywhere.
+    """
+    if depth <= SHORT:
+        raise ValueError(f"depth must be above {SHORT}")
+    short = scratch.keep(grams.groupBy(_last("gram", SHORT + 1).alias("code")).agg(F.sum("n").alias("n")), "short")
+    pairs = short.groupBy(_last("code", 2).alias("code")).agg(F.sum("n").alias("n")).collect()
+    codes, n = np.array([r["code"] for r in pairs], np.uint64), np.array([r["n"] for r in pairs], np.int64)
+    dense = [np.zeros(1 << 16) for _ in range(3)]
+    if len(codes):
+        q, p, _ = deeper(_bytes(codes, 1), n, np.full(len(n), 1 / 256), np.full(len(n), 1 / 256), least, root=True)
+        q, p, kept = deeper(codes, n, q, p, least)
+        for column, values in zip(dense, (q, p, kept), strict=True):
+            column[codes.astype(np.int64)] = values
+    told = grams.sparkSession.sparkContext.broadcast(dense)
+
+    def walk(lengths: range, group: int, columns: list[str]):
+        """Adds share, probability and order at the last of lengths; up to that of the first less one they come with the rows."""
+
+        def run(batches):
+            for got in _whole_groups(batches, group):
+                codes, n = got[0].view(np.uint64), got[1]
+                if len(got) > len(columns):
+                    q, p, order = got[-3:]
+                else:
+                    q, p, order = (x[_bytes(codes, 2).astype(np.int64)] for x in told.value)
+                for length in lengths:
+                    q, p, kept = deeper(_bytes(codes, length + 1), n, q, p, least)
+                    order = np.where(kept, length, order)
+                for i in range(0, len(codes), 1 << 16):
+                    cut = slice(i, i + (1 << 16))
+                    fields = [(c, pa.int64()) for c in columns] + [("q", pa.float64()), ("p", pa.float64()), ("order", pa.int64())]
+                    yield batch_of(pa.schema(fields), *[pa.array(c[cut]) for c in got[: len(columns)]], pa.array(q[cut]), pa.array(p[cut]), pa.array(order[cut].astype(np.int64)))
+
+        return run
+
+    tail = "q double, p double, order long"
+    up = None
+    for length in range(2, SHORT + 1):
+        rows = short.groupBy(_last("code", length + 1).alias("code")).agg(F.sum("n").alias("n"))
+        if up is not None:
+            rows = rows.join(up, _last("code", length) == F.col("up")).select("code", "n", "q", "p", "order")
+        context = F.shiftright("code", 8)
+        rows = rows.repartition(context).sortWithinPartitions(context)
+        up = scratch.keep(rows.mapInArrow(walk(range(length, length + 1), length, ["code", "n"]), f"code long, n long, {tail}").select(F.col("code").alias("up"), "q", "p", "order"), f"short{length}")
+    rows = grams.join(up, _last("gram", SHORT + 1) == F.col("up")).select("gram", "n", "m", "q", "p", "order")
+    context = _last("gram", SHORT + 2) - F.col("gram").bitwiseAND(255)
+    rows = rows.repartition(context).sortWithinPartitions(context)
+    done = rows.mapInArrow(walk(range(SHORT + 1, depth + 1), SHORT + 1, ["gram", "n", "m"]), f"gram long, n long, m long, {tail}")
+    return done.select("gram", "m", F.log10("p").cast("float").alias("logp"), F.col("order").cast("int").alias("order"))
+
+
+def gathered(table: DataFrame) -> list[list[bytes]]:
+    """A table's columns on the driver, packed: binary ones joined by line feeds, numbers as in memory."""
+
+    def run(batches):
+        for batch in batches:
+            packed = [b"\n".join(c.to_pylist()) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).tobytes() for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=batch.schema.names)
+
+    rows = table.mapInArrow(run, ", ".join(f"{c} binary" for c in table.columns)).collect()
+    return [[bytes(r[i]) for r in rows if r[i]] for i in range(len(table.columns))]
+
+
+def head_count(words: DataFrame, head: int, n: str = "n") -> int:
+    """The least count such that at most head words have it or more. Only numbers of words by count are looked at."""
+    by_count = words.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(head + 1)
+    seen = (F.sum("words").over(Window.orderBy(F.desc("n")))).alias("seen")
+    found = by_count.select("n", seen).agg(F.min(F.when(F.col("seen") <= head, F.col("n"))), F.max("n")).head()
+    return found[0] if found[0] is not None else (found[1] or 0) + 1
 
 
 def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = EVIDENCE, head: int = HEAD_WORDS, head_grams: int = HEAD_GRAMS) -> DataFrame:
@@ -312,24 +312,25 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
-    learned = docs.where(learning(key))
-    ends = learned.select(key).count()
-    words = scratch.keep(count_words(learned, text), "words")
+    ends = docs.where(learning(key)).count()
+    words = scratch.keep(count_words(docs.where(learning(key)), text), "words")
     scratch.release()
-    grams = scratch.keep(count_grams(learned, text, depth), "grams")
+    grams = scratch.keep(count_grams(docs, learning(key), text, depth), "grams")
     scratch.release()
+    tree = scratch.keep(grow(grams, scratch, depth, least), "tree")
+    scratch.release("grams")
     kinds, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
-    levels = grow_levels(grams, scratch, depth, least)
-    common = probabilities(grams.where(F.col("n") >= head_count(grams, head_grams)), levels, scratch, "common").toPandas()
-    head_keys = common["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    least_m = head_count(tree, head_grams, "m")
+    keys, logp = gathered(tree.where(F.col("m") >= least_m).select("gram", "logp"))
+    head_keys, head_logp = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(logp), np.float32)
+    del keys, logp
     by = np.argsort(head_keys)
-    head_keys, head_logp = head_keys[by], common["logp"].to_numpy().astype(np.float32)[by]
-    scratch.release(*(f"common{i}" for i in range(depth + 1)))
+    head_keys, head_logp = head_keys[by], head_logp[by]
     n_train, n_kinds = total + ends, kinds + (ends > 0)
     least_n = head_count(words, head)
-    top = words.where(F.col("n") >= least_n).toPandas()
-    told = spark.sparkContext.broadcast((head_keys, head_logp, b"\n".join(map(bytes, top["word"])), top["n"].to_numpy()))
-    del top, common, head_keys, head_logp
+    top, top_n = gathered(words.where(F.col("n") >= least_n))
+    told = spark.sparkContext.broadcast((head_keys, head_logp, b"\n".join(top), np.frombuffer(b"".join(top_n), np.int64)))
+    del top, top_n, by, head_keys, head_logp
     size = n_train + 0.1 * (n_kinds + 1)
     p = lambda c: math.log10((c + 0.1) / size)
 
@@ -370,7 +371,6 @@ def score_report(docs: DataFrame, key: str = "doc_id", text: str = "text", depth
     c = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(size))).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
     rare = scratch.keep(scored.select("row", F.explode("odd").alias("x")).select("row", "x.gram", "x.times"), "odd")
-    logp = probabilities(rare.select("gram").distinct(), levels, scratch, "asked")
-    tails = rare.join(logp, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("tail"))
+    tails = rare.join(tree.where(F.col("m") < least_m).select("gram", "logp"), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("tail"))
     done = scored.drop("rare", "odd").join(sums, "row", "left").join(tails, "row", "left")
     return scratch.last(done.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score")))

@@ -130,71 +130,64 @@ def test_scores(docs):
             assert r.base_score == pytest.approx(sum(np.log10((train[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in t), rel=1e-9)
 
 
-def test_tree_is_a_distribution_and_matches_a_walk():
-    lines = [b"abab abba", b"ba", b"", b"abcab"]
+def plain_tree(lines, depth, times=1):
+    """Counts by context, the retained contexts, and the probability of a byte after a history."""
     counts = defaultdict(Counter)
     for line in lines:
-        s = b"\n" * 3 + line + b"\n"
-        for i in range(3, len(s)):
-            for d in range(4):
-                counts[d, int.from_bytes(s[i - d : i], "big")][s[i]] += 1
-    keep = [k for k in counts if k[0] < 2 or sum(counts[k].values()) > 1]
-    tree = suffix_tree.grow([(d, c, b, n) for d, c in keep for b, n in counts[d, c].items()], 3)
-    width = int(tree.column.max()) + 1
-    unseen = 256 - (width - 1)
-    p = 10.0 ** tree.logp.reshape(-1, width).astype(float)
-    assert np.allclose(p[:, :-1].sum(axis=1) + unseen * p[:, -1], 1, atol=1e-5)
-
-    def prob(hist, byte):
-        q, out = 1 / 256, None
-        for d in range(4):
-            c = counts.get((d, int.from_bytes(hist[len(hist) - d :], "big"))) if (d, int.from_bytes(hist[len(hist) - d :], "big")) in keep else None
-            if c:
-                q = (c[byte] + len(c) * q) / (sum(c.values()) + len(c))
-            out = q
-        return out
-
-    texts = [*lines, b"zz top", b"ab" * 700]
-    want = [sum(np.log10(prob((b"\n" * 3 + t)[: 3 + i], (t + b"\n")[i])) for i in range(len(t) + 1)) for t in texts]
-    assert np.allclose(suffix_tree.score_lines(texts, tree), want, rtol=1e-4)
-
-
-def test_tree_grows_with_the_corpus_and_is_scored_whole(docs, spark):
-    lines = {i: b" ".join(t.encode().lower().split()) for i, t in texts_of().items()}
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+        s = b"\n" * depth + line + b"\n"
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts[s[i - d : i]][s[i]] += times
+
+    def evident(c, own):
+        up = counts[c[1:]]
+        gain = sum(n * np.log(n / sum(own.values()) / (up[b] / sum(up.values()))) for b, n in own.items())
+        return gain > suffix_tree.EVIDENCE * len(own)
+
+    kept = {b""} | {c for c, own in counts.items() if c and evident(c, own)}
+
+    def prob(history, byte):
+        q, order = 1 / 256, 0
+        for d in range(depth + 1):
+            c = history[len(history) - d :]
+            if c in kept:
+                own = counts[c]
+                q, order = (own[byte] + len(own) * q) / (sum(own.values()) + len(own)), d
+        return q, order
+
+    return counts, kept, prob
+
+
+def test_scores_follow_the_longest_retained_suffix(docs):
     depth = suffix_tree.DEPTH
-    counts = [defaultdict(Counter) for _ in range(depth + 1)]
-    for r in corpus():
-        if r[0] is not None and not held(r[0]):
-            s = b"\n" * depth + lines[r[0]] + b"\n"
-            for i in range(depth, len(s)):
-                for d in range(depth + 1):
-                    counts[d][s[i - d : i]][s[i]] += 1
-
-    def retained(times):
-        kept = [(0, b"")]
-        for d in range(1, depth + 1):
-            for c, own in counts[d].items():
-                up = counts[d - 1][c[1:]]
-                gain = sum(n * np.log(n / sum(own.values()) / (up[b] / sum(up.values()))) for b, n in own.items())
-                kept += [(d, c)] if times * gain > suffix_tree.EVIDENCE * len(own) else []
-        return kept
-
-    kept = retained(1)
-    assert any(d == depth for d, _ in kept)
-    tree = suffix_tree.grow([(d, int.from_bytes(c, "big"), b, n) for d, c in kept for b, n in counts[d][c].items()], depth)
-    want = dict(zip(lines, suffix_tree.score_lines(list(lines.values()), tree), strict=True))
+    lines = {i: b" ".join(t.encode().lower().split()) for i, t in texts_of().items()}
+    _, kept, prob = plain_tree([lines[r[0]] for r in corpus() if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10], depth)
+    assert any(len(c) == depth for c in kept)
+    want = {}
+    for i, line in lines.items():
+        s = b"\n" * depth + line + b"\n"
+        want[i] = sum(np.log10(prob(s[k - depth : k], s[k])[0]) for k in range(depth, len(s)))
     for head_grams in (1 << 19, 50):
         got = by_id(suffix_tree.score_report(docs, head_grams=head_grams))
         assert all(r.score == pytest.approx(want[i], rel=1e-4) for i, r in got.items())
 
-    grams = spark.createDataFrame([(int.from_bytes(c + bytes([b]), "big", signed=False) - ((1 << 64) if c[0] >> 7 else 0), n) for c, own in counts[depth].items() for b, n in own.items()], "gram long, n long")
-    sizes = []
-    for k in (1, 20):
-        levels = suffix_tree.grow_levels(grams.withColumn("n", F.col("n") * k), Scratch(spark, "t"))
-        sizes.append([kept.count() for _, kept in levels])
-        assert sum(sizes[-1]) == len(retained(k))
-    assert sum(sizes[1]) > 2 * sum(sizes[0])
+
+def test_tree_grows_with_the_corpus(spark):
+    depth = suffix_tree.DEPTH
+    texts = [b" ".join(t.encode().lower().split())[:400] for t in texts_of().values()]
+    last = 0
+    for times in (1, 20):
+        counts, kept, prob = plain_tree(texts, depth, times)
+        grams = [(int.from_bytes(c + bytes([b]), "big"), n, n) for c, own in counts.items() if len(c) == depth for b, n in own.items()]
+        unseen = (int.from_bytes(b"zqzqzq!", "big"), 0, 1)
+        rows = suffix_tree.grow(spark.createDataFrame([*grams, unseen], "gram long, n long, m long"), Scratch(spark, "t")).collect()
+        assert len(rows) == len(grams) + 1
+        for r in rows:
+            history = r.gram.to_bytes(depth + 1, "big")
+            q, order = prob(history[:-1], history[-1])
+            assert r.order == order and r.logp == pytest.approx(np.log10(q), rel=1e-5)
+        assert len(kept) > 1.5 * last
+        last = len(kept)
 
 
 # --- quality --------------------------------------------------------------------------------------------
