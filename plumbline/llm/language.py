@@ -1,10 +1,13 @@
 """Language identification with a linear-chain conditional random field over words.
 
-A text's words are labelled with languages in stretches of at most STRETCH words. Emissions sum weights of
+A text's words are labelled with languages by one chain over the whole text. Emissions sum weights of
 hashed byte n-grams, prefixes, suffixes, the whole word and per-language lexicons of frequent words;
 transitions between neighbouring labels are learned with them, on stretches of one language and on
 code-switched ones joined from two. Forward-backward gives each word's marginals; their mean over the words
-with a letter gives the text's language and score.
+with a letter gives the text's language and score, and runs of words with one best label its passages.
+
+Chains are worked on in stretches of STRETCH words side by side: each stretch's product of potentials tells what it
+passes on to the next, so the messages that enter it from both sides are those of the whole chain.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ STRETCH = 64
 #: Longer words are cut into pieces of so many bytes.
 WORD_BYTES = 32
 BUCKETS = 1 << 16
-#: Bounds of the training sample: documents of each language, characters of each document, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 240, 2048, 512
+#: Bounds of the training sample: whole documents of each language, their characters together, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 240, 800_000, 512
 _LETTER = re.compile(r"[^\W\d_]")
 _ROUNDS, _RATE, _DECAY = 24, 0.25, 1e-4
 
@@ -140,17 +143,40 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray) ->
     return out, pairs
 
 
-def marginals(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """As forward_backward, without the pairs."""
+def marginals(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray, nth: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of every position of chains that are cut into stretches. scores: steps x stretches x labels.
+
+    A chain's stretches follow each other; nth is a stretch's number in its chain and of the chain's number of
+    stretches (by default each stretch is a chain).
+    """
     steps, n, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     t = np.exp(moves).astype(e.dtype)
+    into, back = np.ones((n, k), e.dtype), np.ones((n, k), e.dtype)
+    if nth is not None and n and of.max() > 1:
+        many = np.flatnonzero(of > 1)
+        product, closed = _products(e[:, many], mask[:, many], t)
+        at = np.full(n, -1)
+        at[many] = np.arange(len(many))
+        for j in range(1, int(of.max())):
+            here = np.flatnonzero(nth == j)
+            x = np.einsum("nk,nkl->nl", into[here - 1], product[at[here - 1]])
+            into[here] = x / x.sum(axis=1, keepdims=True)
+        ahead = np.empty((n, k), e.dtype)  # what a stretch tells the one before it
+        last = np.flatnonzero((nth == of - 1) & (of > 1))
+        ahead[last] = closed[at[last]].sum(axis=2)
+        for j in range(int(of.max()) - 2, -1, -1):
+            here = np.flatnonzero((nth == j) & (nth < of - 1))
+            x = ahead[here + 1] / ahead[here + 1].sum(axis=1, keepdims=True)
+            back[here] = x @ t.T
+            ahead[here] = np.einsum("nkl,nl->nk", product[at[here]], x)
     a = np.empty_like(e)
-    a[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    a[0] = into * e[0]
+    a[0] /= a[0].sum(axis=1, keepdims=True)
     for i in range(1, steps):
         x = (a[i - 1] @ t) * e[i]
         a[i] = np.where(mask[i][:, None], x / x.sum(axis=1, keepdims=True), a[i - 1])
-    b = np.ones((n, k), e.dtype)
+    b = back
     for i in range(steps - 1, -1, -1):
         y = (e[i] * b) @ t.T
         a[i] *= b
@@ -159,6 +185,20 @@ def marginals(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> np.nda
     return a
 
 
+def _products(e: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch's potentials multiplied from its first word to its last, with and without the move behind it."""
+    steps, n, k = e.shape
+    product = np.broadcast_to(np.eye(k, dtype=e.dtype), (n, k, k)).copy()
+    closed = product
+    for i in range(steps):
+        x = product * e[i][:, None, :]
+        x /= x.max(axis=(1, 2), keepdims=True)
+        on = mask[i][:, None, None]
+        closed = np.where(on, x, closed)
+        product = np.where(on, x @ t, product)
+    return product, closed
+
+
 def fit(sample: list[tuple[str, bytes]], seed: int = 5) -> Model:
     """A model from (language, text) rows by full-batch adaptive gradient ascent on the conditional likelihood."""
     labels = sorted({lang for lang, _ in sample})
@@ -226,13 +266,13 @@ def fit(sample: list[tuple[str, bytes]], seed: int = 5) -> Model:
     return Model(labels, weights, moves, lexicon, lexicon_label)
 
 
-def predict(texts: list[bytes], model: Model) -> list[tuple[str, float]]:
-    """Language and score of each text."""
+def _posteriors(texts: list[bytes], model: Model) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text (none where it has no letter), and for all of them the text, the marginals and whether there is a letter."""
     docs = [split_words(t) if _LETTER.search(t.decode()) else [] for t in texts]
     known: dict[bytes, int] = {}
     ids = [[known.setdefault(w, len(known)) for w in d] for d in docs]
     if not known or not model.labels:
-        return [("und", 0.0)] * len(texts)
+        return docs, np.zeros(0, np.int64), np.zeros((0, len(model.labels))), np.zeros(0, bool)
     names = list(known)
     scores = emissions(names, model)
     has_letter = np.fromiter((_LETTER.search(w.decode(errors="replace")) is not None for w in names), bool, len(names))
@@ -247,26 +287,62 @@ def predict(texts: list[bytes], model: Model) -> list[tuple[str, float]]:
     grid = np.zeros((STRETCH, n), np.int64)
     mask = np.zeros((STRETCH, n), bool)
     grid[row, col], mask[row, col] = flat, True
-    post = marginals(scores[grid], mask, model.moves)[row, col]
-    use = has_letter[flat]
+    post = marginals(scores[grid], mask, model.moves, np.arange(n) - np.repeat(first, pieces), np.repeat(pieces, pieces))[row, col]
+    return docs, doc, post, has_letter[flat]
+
+
+def predict(texts: list[bytes], model: Model) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    _, doc, post, use = _posteriors(texts, model)
+    if not len(doc):
+        return [("und", 0.0)] * len(texts)
     k = len(model.labels)
-    sums = np.stack([np.bincount(doc[use], post[use, j], len(docs)) for j in range(k)], axis=1)
-    total = np.bincount(doc[use], minlength=len(docs))
+    sums = np.stack([np.bincount(doc[use], post[use, j], len(texts)) for j in range(k)], axis=1)
+    total = np.bincount(doc[use], minlength=len(texts))
     best = sums.argmax(axis=1)
     return [(model.labels[b], float(min(1.0, sums[i, b] / total[i]))) if total[i] else ("und", 0.0) for i, b in enumerate(best)]
 
 
+def passages(texts: list[bytes], model: Model) -> list[list[tuple[str, int, int, float]]]:
+    """Runs of words with the same best label in each text: language, first word, number of words, mean marginal."""
+    docs, doc, post, use = _posteriors(texts, model)
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    if not len(doc):
+        return out
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    best, sure = post.argmax(axis=1), post.max(axis=1)
+    new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])]))
+    ends = np.append(new[1:], len(best))
+    for a, b in zip(new.tolist(), ends.tolist(), strict=True):
+        i = int(doc[a])
+        out[i].append((model.labels[best[a]], int(a - starts[i]), b - a, float(min(1.0, sure[a:b].mean()))))
+    return out
+
+
 def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """At most SAMPLE_DOCS rows of each of at most MAX_LANGUAGES languages, at most SAMPLE_CHARS characters of each.
+    """Whole texts of at most SAMPLE_DOCS rows of each language, together at most SAMPLE_CHARS characters of each.
 
-    Rows are chosen by a hash of the key; where a text is longer, a hash places the stretch taken from it.
+    Rows are taken in the order of a hash of key and text while they fit; a text over an eighth of SAMPLE_CHARS is
+    not drawn, so that one cannot stand for its language. A threshold on the hash, from the number of rows of the
+    language, leaves a few times as many candidates, whatever the size of docs. Repeated rows may be drawn together.
+    More than MAX_LANGUAGES languages are an error: none is left out silently.
     """
-    h = F.xxhash64(F.lit(11), key)
-    start = 1 + F.pmod(F.xxhash64(F.lit(12), key), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("text"), h.alias("h"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
-    found = ranked.orderBy("lang", "r").limit(SAMPLE_DOCS * MAX_LANGUAGES).collect()
-    return [(r["lang"], r["text"].encode()) for r in found]
+    h = F.xxhash64(F.lit(11), key, text)
+    fits = F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS // 8)
+    rows = docs.where(fits).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return []
+    # four times the sample is expected below the threshold
+    below = [(r["lang"], min(1.0, 4 * SAMPLE_DOCS / r["rows"])) for r in sizes]
+    share = F.create_map(*[F.lit(x) for pair in below for x in pair])
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    size = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r"))
+    found = ranked.withColumn("size", size).where(F.col("size") <= SAMPLE_CHARS).select("lang", "r", "text").collect()
+    return [(r["lang"], r["text"].encode()) for r in sorted(found, key=lambda r: (r["lang"], r["r"]))]
 
 
 def learnable(key: str = "doc_id"):
@@ -298,3 +374,30 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", keep: lis
             yield batch_of(pa.schema(fields), *own, [x for x, _ in got], [x for _, x in got])
 
     return rows.mapInArrow(run, out)
+
+
+def label_words(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "passages") -> DataFrame:
+    """The columns in keep (all by default) and, by name, the passages of code-switched texts; a narrow map.
+
+    A passage is a run of words with one best label: lang, first (its first word's number, from 0; words are those of
+    split_words, so one over WORD_BYTES counts as several), words (how many) and score (their mean marginal). A null
+    text, or one without a letter, has none, as has every text where nothing was learned.
+    """
+    keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"{name} is a column already; give another name")
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    kind = "array<struct<lang:string,first:int,words:int,score:double>>"
+    out = rows.select(*keep, F.lit(None).cast(kind).alias(name)).schema
+    arrow = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32()), ("score", pa.float64())]))
+
+    def run(batches):
+        model = told.value
+        for batch, texts in slices(batches, "__text", 2 << 20):
+            got = [[dict(zip(("lang", "first", "words", "score"), x, strict=True)) for x in p] for p in passages(texts, model)]
+            own = [batch.column(n) for n in keep]
+            fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field(name, arrow)]
+            yield batch_of(pa.schema(fields), *own, got)
+
+    return rows.mapInArrow(run, out)

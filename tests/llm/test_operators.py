@@ -465,6 +465,59 @@ def test_languages(spark):
     assert {x.lang_pred for x in none.collect()} == {"und"}
 
 
+def test_chain_runs_over_the_whole_text():
+    rng = np.random.default_rng(3)
+    k, step = 3, 4
+    moves = rng.normal(size=(k, k))
+    sizes = [1, 4, 5, 11, 8]
+    chains = [rng.normal(size=(n, k)) for n in sizes]
+    pieces = [-(-n // step) for n in sizes]
+    grid, mask = np.zeros((step, sum(pieces), k)), np.zeros((step, sum(pieces)), bool)
+    nth, of, col = [], [], 0
+    for c, m in zip(chains, pieces, strict=True):
+        for i, x in enumerate(c):
+            grid[i % step, col + i // step], mask[i % step, col + i // step] = x, True
+        nth += range(m)
+        of += [m] * m
+        col += m
+    got, col = language.marginals(grid, mask, moves, np.array(nth), np.array(of)), 0
+    for c, m in zip(chains, pieces, strict=True):
+        want, _ = language.forward_backward(c[:, None, :], np.ones((len(c), 1), bool), moves)
+        for i in range(len(c)):
+            assert np.allclose(got[i % step, col + i // step], want[i, 0])
+        col += m
+
+
+def test_words_of_code_switched_texts_are_labelled(spark):
+    words = {"aa": ["nora", "pell", "quim"], "bb": ["stov", "trig", "uxal"]}
+    rng = np.random.default_rng(1)
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, text(x, 30), x) for i, x in enumerate(["aa", "bb"] * 20)]
+    docs = spark.createDataFrame([*rows, (100, text("aa", 70) + " " + text("bb", 80), None), (101, None, None), (102, "12 ++", "aa")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = by_id(language.label_words(docs, model, keep=["doc_id"]))
+    assert [(p.lang, p.first, p.words) for p in got[100].passages] == [("aa", 0, 70), ("bb", 70, 80)]
+    assert all(p.score > 0.8 for p in got[100].passages)
+    assert got[101].passages == [] and got[102].passages == []
+    assert all([(p.lang, p.words) for p in got[i].passages] == [(x, 30)] for i, _, x in rows)
+
+
+def test_training_sample_is_whole_and_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w" * (i % 50 + 1), f"l{i % 3}") for i in range(600)] + [(900, "x" * 5000, "l0"), (901, None, "l1"), (902, "y", None)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 20)
+    got = language.training_sample(docs)
+    assert Counter(x for x, _ in got) == {"l0": 20, "l1": 20, "l2": 20} and got == language.training_sample(docs)
+    assert max(len(t) for _, t in got) <= 5000
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 400)
+    sizes = Counter()
+    for x, t in language.training_sample(docs):
+        sizes[x] += len(t)
+    assert all(300 < n <= 400 for n in sizes.values())
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language.training_sample(docs)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     scores, moves = rng.normal(size=(4, 2, 3)), rng.normal(size=(3, 3))
