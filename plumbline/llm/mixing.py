@@ -203,7 +203,13 @@ def mix_report(docs: DataFrame, times: int = 2, **how) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", times: int = 2, seed: int = 17, **how) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it. Texts are not shuffled."""
+    """The mixed corpus: each document as often as the mix takes it. Texts are not shuffled.
+
+    Nulls, ties, repeated rows and empty tables are as in plan_mix: rows without a word go, rows equal in key and
+    text are taken alike. Other columns pass through; names that begin with two underscores are refused.
+    """
+    if odd := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns {odd} clash with those of the mix")
     mix = plan_mix(docs, text=text, source=source, key=key, times=times, seed=seed, **how)
     has_word = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = docs.withColumns({"__pattern": _pattern(docs, source), "__order": order_of(seed, key, text)}).join(F.broadcast(mix.plan.select("__pattern", *[f"__cut{c}" for c in range(times)])), "__pattern")

@@ -18,20 +18,35 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one of a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="plumbline-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
 
 
+#: Folders whose last tables a result may still read.
+_LEFT: list[str] = []
+
+
+def sweep(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that results of this session still read, once those are written elsewhere."""
+    for root in [r for r in _LEFT if r not in but]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _LEFT.remove(root)
+
+
 class Scratch:
     """Intermediate tables of one run, below shared_dir. They cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex[:12]}", []
+        _LEFT.append(self.root)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"

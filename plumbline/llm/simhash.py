@@ -282,7 +282,10 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hex digits), component_id."""
+    """doc_id, fingerprint (16 lower-case hex digits), component_id.
+
+    Nulls, ties, repeated rows and empty tables are as in classes; only key and text are read.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     found = classes(docs, scratch, key, text)
     return scratch.last(found.select(F.col(key).alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id"))

@@ -27,6 +27,8 @@ from plumbline.llm.suffix_array import common_prefixes, smaller_than_successor,
 WIDTH, GRAM = 200, 40
 #: Bytes of contexts sorted at once; contexts of one hash in a part.
 BLOCK_BYTES, PART_CONTEXTS = 1 << 20, 4096
+#: Tasks that the contexts of one hash may meet its number of parts in.
+_SALTS = 64
 _END = 0xFF  # never in UTF-8
 
 
@@ -182,7 +184,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
     packed = docs.select(F.col(text).alias("__text")).mapInArrow(pack, "digest binary, packed binary")
     table = f"plumbline_texts_{scratch.root.rsplit('-', 1)[1]}"
     once = packed.groupBy("digest").agg(F.first("packed").alias("packed"), (F.count("*") > 1).alias("copied"))
-    once.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").options(**ROW_GROUP).saveAsTable(table)
+    once.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").options(path=scratch.path("texts"), **ROW_GROUP).saveAsTable(table)
     scratch.own_table(table)
 
     def find(batches):
@@ -210,7 +212,10 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
     each = open_.groupBy("hash", "content").agg((F.bool_or("copied") | (F.count("*") > 1)).alias("many"), F.min(F.struct("digest", "first", "starts")).alias("place"))
     each = scratch.keep(each.select("hash", "content", "many", "place.*"), "contexts")
     large = each.groupBy("hash").agg(F.count("*").alias("m")).where(F.col("m") > part).select("hash", F.ceil(F.col("m") / part).cast("int").alias("parts"))
-    dealt = each.join(large, "hash", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"), F.lit(-1)))
+    # by hash and content, so that a hash with very many contexts is not one task's
+    salt = F.pmod(F.xxhash64("content"), F.lit(_SALTS)).cast("int")
+    spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = each.withColumn("salt", salt).join(spread, ["hash", "salt"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"), F.lit(-1)))
     lists = dealt.groupBy("digest").agg(F.collect_list(F.struct("hash", "content", "many", "first", "starts", "part")).alias("wanted"))
 
     def cut(batches):
@@ -328,10 +333,13 @@ def dedup_texts(docs: DataFrame, text: str = "text", chars: str | None = None, *
     """docs with repeated strings cut out of text, and without documents of which no word is left by that.
 
     Bytes of characters cut in two go too. chars names a column to set to the new text's length. Texts without
-    repeats, nulls included, are unchanged.
+    repeats, nulls included, are unchanged. Repeated rows are copies of each other: all lose what they share. Other
+    columns pass through; an empty table gives an empty one. The result reads one table of kept texts, which
+    sweep() deletes once it is written.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    result = repeated(docs, scratch, text, **how).select(F.col("digest").alias("__result"), F.col("kept").alias("__kept"))
+    kept = repeated(docs, scratch, text, **how).select(F.col("digest").alias("__result"), F.col("kept").alias("__kept"))
+    result = scratch.last(kept)
     keyed = _with_digest(docs, text)
     joined = keyed.join(result, F.col("__digest") == F.col("__result"), "left")
 

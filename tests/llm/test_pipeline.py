@@ -54,3 +54,24 @@ def test_stages(spark):
 def test_run(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null keys, repeated rows, a further column and a very long text."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["the", "ing", "wh", "er"]) for _ in range(3))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long_, a, b, c = text(40_000), text(90), text(90), text(80)
+    odd = [(None, a, "en", "s", 1, "x"), (None, b, "en", None, 1, "y"), (5, c, "en", "s", None, None), (6, long_, None, "s", 1, "x"), (7, None, None, None, None, None), (8, "", "en", "", 0, "x")]
+    odd += [odd[2]] * 3
+    schema = SCHEMA + ", word string"
+    for given in (odd, []):
+        rows = [*given, *((100 + i, *x[1:]) for i, x in enumerate(given))]
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = Scratch(spark, "odd").keep(stage(spark, docs, None), name)
+            if name != "tokens":
+                assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+            if name == "near_duplicates":
+                assert sorted(x.text for x in docs.collect()) == (sorted([a, b, c, long_]) if given else [])
+        assert docs.count() > 0 or not given
