@@ -2,10 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run() writes it as
 Parquet in the shared folder and reads it again for the next stage. All but the last return documents' columns.
+Every stage works on an empty table, on repeated rows, null keys and further columns, which pass through; nulls and
+ties are settled as the operators' docstrings say.
 
 1. language: documents whose language cannot be told (no letter, or a score below MIN_SCORE) go; a missing lang
    is filled in. Everything else stays.
-2. near_duplicates: of each component of near-duplicates the document with the smallest doc_id stays.
+2. near_duplicates: of each component of near-duplicates (five-word shingles, similarity about 0.8 or more) the
+   document with the smallest doc_id stays.
 3. repeated_strings: bytes within 200-byte strings that occur twice or more are cut out of text, n_chars follows;
    documents that lose their last word go.
 4. mixing: each source is taken to its target, documents up to twice.
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, language, mixing, simhash, substring_dedup
-from plumbline.llm.shared import Scratch
+from plumbline.llm.shared import Scratch, sweep
 
 #: A text's mean word marginal for its best language; chance is one over the number of languages.
 MIN_SCORE = 0.3
@@ -65,6 +68,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        sweep(spark, but=(scratch.root,))
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
