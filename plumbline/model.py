@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 VERIFIED, CONTRADICTED, UNVERIFIABLE = "VERIFIED", "CONTRADICTED", "UNVERIFIABLE"
 PARSE_ERROR, SKIPPED, INVARIANT_ERROR, ERROR = "PARSE_ERROR", "SKIPPED_DUE_TO_COST", "INVARIANT_ERROR", "ERROR"
+#: Claims that need an evaluator where none is given.
+OPEN = "OPEN"
 GROUNDED, PARTIALLY_GROUNDED, NOT_GROUNDED = "GROUNDED", "PARTIALLY_GROUNDED", "NOT_GROUNDED"
 LEXICAL_PASS, SEMANTIC_REVIEW, ALL_LOW = "lexical_pass", "semantic_review", "all_low_escalate"
 
@@ -46,7 +48,7 @@ class Config:
     chunk_size: int = 500
     chunk_overlap: int = 50
     max_source_tokens: int = 8000
-    evidence_similarity: float = 0.85
+    evidence_similarity: float = 0.90
     low_score_floor: float = 0.01
     max_spend: float = 0.50
     context: str | None = None

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.model import CITATION, CONTRADICTED, ERROR, GENERAL, GROUNDED, INVARIANT_ERROR, NOT_GROUNDED, PARSE_ERROR, PARTIALLY_GROUNDED, SKIPPED, UNVERIFIABLE, VERIFIED, Profile
+from plumbline.model import CITATION, CONTRADICTED, ERROR, GENERAL, GROUNDED, INVARIANT_ERROR, NOT_GROUNDED, OPEN, PARSE_ERROR, PARTIALLY_GROUNDED, SKIPPED, UNVERIFIABLE, VERIFIED, Profile
 
 # Texts of results.
 LEXICAL_VERDICT = "The source material fully supports the claim via high-confidence lexical retrieval."
 LEXICAL_RATIONALE = "High-confidence BM25 match found in source material. LLM evaluation skipped for cost efficiency."
+NUMERIC_VERDICT = "Numerical conflict detected in source."
+NUMERIC_RATIONALE = "Claim number conflicts with source: "
+FAILED_VERDICTS = {
+    PARSE_ERROR: "Verification failed — LLM returned unparseable output after retry.",
+    SKIPPED: "Verification skipped — batch spend cap exceeded.",
+    INVARIANT_ERROR: "Verification failed — internal integrity violation.",
+    ERROR: "Verification failed.",
+    OPEN: "An evaluator is needed.",
+}
+INVARIANT = "citation must be non-null for VERIFIED results"
 ATOM = f"struct<claim_text:string,claim_type:string,status:string,source_id:string,source_excerpt:string,reasoning_basis:array<string>,page_hint:string,verification_method:string,citation:{CITATION},unverifiable_reason:string>"
 RESULT = (
     f"claim_id string, corpus_id string, is_valid boolean, overall_verdict string, verification_method string, atomic_claims array<{ATOM}>,"
@@ -53,10 +63,11 @@ def numeric_results(checked: DataFrame, claims: DataFrame, first_sources: DataFr
     """CONTRADICTED at no cost for claims whose numbers conflict; without a citation the first source is named."""
     df = checked.where("has_conflict").join(claims.select("claim_id", "corpus_id", "claim", "atoms"), ["claim_id", "corpus_id"]).join(first_sources, "corpus_id", "left")
     cited = F.when(F.col("citation").isNotNull(), citation(F.col("citation.source_id"), F.col("citation.excerpt"), F.col("citation.excerpt_char_start"), F.col("citation.excerpt_char_end")))
-    verdict = F.lit("Numerical conflict detected between the claim and the sources.")
+    verdict = F.lit(NUMERIC_VERDICT)
+    why = F.concat(F.lit(NUMERIC_RATIONALE), F.coalesce("citation.excerpt", F.lit("None")))
     one = atom(claim_text=F.col("claim"), claim_type=F.coalesce(F.get("atoms", F.lit(0))["claim_type"], F.lit("Extractive")), status=F.lit(CONTRADICTED), source_id=F.coalesce("citation.source_id", "first_source"), source_excerpt=F.col("citation.excerpt"), verification_method=F.lit("tier25_numerical"), citation=cited)
     used = F.when(F.col("citation").isNotNull(), F.array("citation.source_id")).otherwise(F.array().cast("array<string>"))
-    return result(df, is_valid=F.lit(False), overall_verdict=verdict, verification_method=F.lit("tier25_numerical"), atomic_claims=F.array(one), factual_consistency_score=F.lit(0.0), sources_used=used, rationale=verdict, offending_claim=F.col("claim"), status=F.lit(CONTRADICTED))
+    return result(df, is_valid=F.lit(False), overall_verdict=verdict, verification_method=F.lit("tier25_numerical"), atomic_claims=F.array(one), factual_consistency_score=F.lit(0.0), sources_used=used, rationale=why, offending_claim=F.col("claim"), status=F.lit(CONTRADICTED))
 
 
 def lexical_results(claims: DataFrame, looked_at: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -114,16 +125,34 @@ def model_results(answers: DataFrame) -> DataFrame:
 
 def failed_results(rows: DataFrame, status: str, message: Column, cost: Column | None = None) -> DataFrame:
     """Rows that could not be settled, each with its reason, so that one failure is no other claim's."""
-    assert status in (PARSE_ERROR, SKIPPED, INVARIANT_ERROR, ERROR)
     none = F.array().cast(f"array<{ATOM}>")
-    return result(rows, is_valid=F.lit(False), overall_verdict=message, verification_method=F.lit("error"), atomic_claims=none, factual_consistency_score=F.lit(0.0), sources_used=F.array().cast("array<string>"), rationale=message, status=F.lit(status), cost_usd=F.lit(0.0) if cost is None else cost)
+    verdict = F.lit(FAILED_VERDICTS[status])
+    return result(rows, is_valid=F.lit(False), overall_verdict=verdict, verification_method=F.lit("skipped"), atomic_claims=none, factual_consistency_score=F.lit(0.0), sources_used=F.array().cast("array<string>"), rationale=message, status=F.lit(status), cost_usd=F.lit(0.0) if cost is None else cost)
 
 
-def spend_capped(costs: DataFrame, max_spend: float, order: str = "input_ord", cost: str = "cost_usd", group: str | None = None) -> DataFrame:
+def citation_invariant(results: DataFrame) -> DataFrame:
+    """results in which a verified one has a citation for each verified atom; others become INVARIANT_ERROR rows that keep their cost."""
+    bare = F.exists("atomic_claims", lambda a: (a["status"] == VERIFIED) & a["citation"].isNull())
+    broken = (F.col("status") == VERIFIED) & (F.coalesce(bare, F.lit(False)) | (F.coalesce(F.size("atomic_claims"), F.lit(0)) <= 0))
+    failed = failed_results(results.where(broken), INVARIANT_ERROR, F.lit(INVARIANT), F.col("cost_usd"))
+    return results.where(~F.coalesce(broken, F.lit(False))).unionByName(failed)
+
+
+def spend_capped(costs: DataFrame, max_spend: float, order: str = "input_ord", cost: str = "cost_usd", group: str | None = None, stages=None) -> DataFrame:
     """spent, the cost so far in input order, and skipped where that exceeds max_spend.
 
-    One budget is one running sum; give group for one budget each, which also spreads the work.
+    One budget is one running sum; give group for one budget each. With stages a single budget is summed in parts:
+    rows are dealt by ranges of order and written, the parts' sums run on from part to part, and within a part each
+    task runs its own.
     """
+    if group is None and stages is not None:
+        dealt = costs.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
+        dealt = stages.keep(dealt, "spend")
+        parts = dealt.groupBy("__part").agg(F.sum(cost).alias("__sum"))
+        before = parts.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))
+        inside = F.sum(cost).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        spent = dealt.withColumn("__inside", inside).join(before, "__part").withColumn("spent", F.col("__before") + F.col("__inside"))
+        return spent.withColumn("skipped", F.col("spent") > max_spend).drop("__part", "__inside", "__before")
     w = Window.partitionBy(*([group] if group else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     spent = F.sum(cost).over(w)
     return costs.withColumn("spent", spent).withColumn("skipped", F.col("spent") > max_spend)
@@ -142,10 +171,13 @@ def analysis_summary(results: DataFrame, key: str = "analysis_id", profile: Prof
 
 
 def faithfulness_summary(verdicts: DataFrame, key: str = "answer_id", threshold: float = GENERAL.faithfulness_threshold) -> DataFrame:
-    """Per answer from its sentences' verdicts: score = entailed / all, status, is_grounded."""
+    """Per answer from its sentences' verdicts: score = entailed / all, status, is_grounded.
+
+    An answer without a sentence (one null verdict) counts as one that is not entailed: partially grounded at 0.
+    """
     df = verdicts.groupBy(key).agg(F.count("verdict").alias("total"), F.count_if(F.col("verdict") == "Entailment").alias("entailed"), F.count_if(F.col("verdict") == "Contradiction").alias("contradicted"))
     score = F.col("entailed") / F.greatest("total", F.lit(1))
-    status = F.when(F.col("contradicted") > 0, NOT_GROUNDED).when(F.col("entailed") == F.col("total"), GROUNDED).otherwise(PARTIALLY_GROUNDED)
+    status = F.when(F.col("contradicted") > 0, NOT_GROUNDED).when(F.col("entailed") == F.greatest("total", F.lit(1)), GROUNDED).otherwise(PARTIALLY_GROUNDED)
     df = df.withColumns({"score": score, "status": status})
     return df.withColumn("is_grounded", (F.col("status") != NOT_GROUNDED) & (F.col("score") >= threshold))
 

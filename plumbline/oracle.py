@@ -93,7 +93,7 @@ def _tokens(c: str) -> str:
 
 
 _MODEL_ROW = """
-re AS (SELECT item_id, substr(text, 1, 40) AS t, item_id % 3 AS m, item_id % 4 = 3 AS bare, item_id % 8 = 3 AS reasoned, item_id % 7 = 6 AS high, item_id % 11 = 10 AS junk FROM benchmark),
+re AS (SELECT item_id, text AS t, item_id % 3 AS m, item_id % 4 = 3 AS bare, item_id % 8 = 3 AS reasoned, item_id % 7 = 6 AS high, item_id % 11 = 10 AS junk FROM benchmark),
 va AS (SELECT *, CASE WHEN junk THEN 'incomplete' WHEN high THEN 'probability' WHEN m < 2 AND bare AND NOT reasoned THEN 'evidence' END AS error FROM re)
 """
 
@@ -170,10 +170,10 @@ SELECT n_nationkey, model, CASE WHEN model LIKE 'ollama%' THEN 'ollama' WHEN mod
   WHEN model LIKE 'vertex_ai/gemini%' OR model LIKE 'gemini/%' THEN 'google' WHEN model LIKE 'anthropic/%' OR model LIKE 'claude-%' THEN 'anthropic' WHEN regexp_matches(model, '^(o1|o3|o4|gpt-5)') THEN 'openai_reasoning' ELSE 'default' END AS adapter FROM m
 """,
     "q_json_substring": """
-SELECT item_id, CASE item_id % 4 WHEN 2 THEN 'only|a list' WHEN 3 THEN NULL ELSE substr(text, 1, 30) || '|second' END AS claims FROM benchmark
+SELECT item_id, CASE item_id % 4 WHEN 2 THEN 'only|a list' WHEN 3 THEN NULL ELSE text || '|second' END AS claims FROM benchmark
 """,
     "q_answer_prompt": f"""
-WITH l AS (SELECT * FROM ({_LINES}) WHERE doc_id % 10 = 0), x AS (SELECT doc_id, ord, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+WITH l AS ({_LINES}), x AS (SELECT doc_id, ord, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 y AS (SELECT *, list_filter(list_transform(string_split(b, '.'), lambda p: {_STRIP.format("p")}), lambda p: p <> '') AS parts FROM x),
 z AS (SELECT doc_id, ord, text, CASE WHEN b IS NULL THEN NULL WHEN len(parts) > 0 THEN parts[-1] || '.' ELSE b END AS prev, CASE WHEN contains(a, '.') THEN split_part(a, '.', 1) || '.' ELSE a END AS next FROM y)
 SELECT doc_id, md5(string_agg(concat_ws(chr(10), CASE WHEN prev <> '' THEN '[preceding context: ' || prev || ']' END, text, CASE WHEN next <> '' THEN '[following context: ' || next || ']' END), chr(10) || chr(10) ORDER BY ord)) AS sources_md5,
@@ -189,9 +189,9 @@ SELECT claim_id, 'VERIFIED' AS status, 'tier2_lexical' AS verification_method, 1
   {_TYPE.format("(" + _ATOM_LIST.format(t="claim") + ")[1]")} AS claim_type, best::VARCHAR AS cited, length(text) AS excerpt_end
 FROM routed JOIN u USING (claim_id) JOIN claims USING (claim_id) JOIN documents ON doc_id = best WHERE decision = 'lexical_pass'
 """,
-    "q_fuzzy_gate": f"WITH {_EVIDENCE} SELECT claim_id, source_ord::VARCHAR AS source_id, 100.0::DOUBLE AS similarity FROM shared",
+    "q_fuzzy_gate": f"WITH {_EVIDENCE} SELECT claim_id, source_ord::VARCHAR AS source_id, source_ord IS NOT NULL AS passed FROM ev LEFT JOIN shared USING (claim_id, corpus_id)",
     "q_pinned_chunks": f"""
-WITH {_BM25}, {_EVIDENCE}, g AS (SELECT claim_id, corpus_id, source_ord FROM shared JOIN ev USING (claim_id, corpus_id) WHERE item_id % 3 <> 0)
+WITH {_BM25}, {_EVIDENCE}, g AS (SELECT claim_id, corpus_id, source_ord FROM shared)
 SELECT claim_id, source_ord::VARCHAR AS source_id, ord FROM looked
 UNION ALL SELECT claim_id, source_ord::VARCHAR, coalesce((SELECT max(ord) FROM looked l WHERE l.claim_id = g.claim_id), 0) + 1 FROM g WHERE NOT EXISTS (SELECT 1 FROM looked l WHERE l.claim_id = g.claim_id AND l.source_ord = g.source_ord)
 """,
@@ -265,6 +265,6 @@ WITH c AS (SELECT source AS corpus_id, doc_id::VARCHAR AS source_id, row_number(
 SELECT corpus_id, source_id, place FROM c WHERE place <= 3
 """,
     "q_verify_cascade": f"""
-SELECT p_partkey::VARCHAR AS claim_id, 'CONTRADICTED' AS status, 'tier25_numerical' AS verification_method FROM part WHERE {_CLASH}
+SELECT p_partkey::VARCHAR AS claim_id, CASE WHEN {_CLASH} THEN 'CONTRADICTED' ELSE 'OPEN' END AS status, CASE WHEN {_CLASH} THEN 'tier25_numerical' ELSE 'skipped' END AS verification_method FROM part
 """,
 }

@@ -18,10 +18,17 @@ def first_of_each(sources: DataFrame, key: list[str], order: list[str], llm_step
     return first.withColumn("derived_from_llm", F.col(step).isin(*llm_steps) if llm_steps else F.lit(False))
 
 
-def with_boundary_context(sources: DataFrame, document: str, order: str, content: str = "content") -> DataFrame:
-    """prev_context, the last sentence before each source, and next_context, the first one after it, by document."""
-    w = Window.partitionBy(document).orderBy(order)
+def with_boundary_context(sources: DataFrame, group: str, order: str, content: str = "content", name: str | None = None) -> DataFrame:
+    """prev_context, the last sentence before each source, and next_context, the first one after it, within each group.
+
+    With name, a column of ids, neighbours give context only if their ids agree before the first `::`.
+    """
+    w = Window.partitionBy(group).orderBy(order)
     before, after = F.lag(content).over(w), F.lead(content).over(w)
+    if name:
+        own = F.substring_index(name, "::", 1)
+        before = F.when(F.lag(own).over(w).eqNullSafe(own), before)
+        after = F.when(F.lead(own).over(w).eqNullSafe(own), after)
     parts = F.filter(F.transform(F.split(before, r"\."), strip), lambda p: p != "")
     last = F.when(F.size(parts) > 0, F.concat(F.element_at(parts, -1), F.lit("."))).otherwise(before)
     first = F.when(F.instr(after, ".") > 0, F.concat(F.substring_index(after, ".", 1), F.lit("."))).otherwise(after)

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from plumbline.evaluators.protocol import Evaluator
 from plumbline.model import Config
+from plumbline.plans.stages import sweep
 from plumbline.plans.verify import verify
 
 
 def verify_stream(claims: DataFrame, sources: DataFrame, path: str, checkpoint: str, cfg: Config | None = None, evaluator: Evaluator | None = None, cache: str | None = None):
     """Verifies each micro-batch of claims against static sources; results are appended to path as Parquet.
 
-    A batch's folder is named by its number and overwritten if the batch is repeated, so none is stored twice.
+    A batch's folder is named by its number and overwritten if the batch is repeated, so none is stored twice. The
+    stages of a batch's plan are deleted once it is stored.
     """
 
     def settle(batch: DataFrame, number: int) -> None:
         verify(batch, sources, cfg, evaluator, cache).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        sweep(batch.sparkSession)
 
     return claims.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 
