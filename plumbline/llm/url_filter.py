@@ -3,19 +3,22 @@
 A rule is written as in host lists and ad blockers: `|` anchors at the start or end of the URL, `||` at the
 start of the host or after one of its dots, `*` stands for anything, `^` for one separator or the end; all
 else is literal. Every run of [a-z0-9] in a rule that cannot be part of a longer run in a matching URL is one
-of its tokens. How often each of those tokens occurs is counted over the whole URL column (the counts are
-bounded by the rules, not by the data). The index holds each rule under its rarest token only; a URL's tokens
-fetch candidate rules, and only these run their regular expressions.
+of its tokens; a rule without any has the ends, beginnings or, failing those, insides of URL tokens that its runs
+must be. How often each of those occurs is counted over the whole URL column (the counts are bounded by the
+rules, not by the data). The index holds each rule under its rarest one only; a URL's tokens, and their parts of
+the indexed lengths, fetch candidate rules, and only these run their regular expressions. Only a rule without a
+letter or digit runs on every URL.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import batch_of
@@ -72,17 +75,42 @@ def compiled(rule: Rule) -> str:
 
 
 def tokens_of(rule: Rule) -> list[str]:
-    """Tokens that every matching URL has as whole tokens, letters lower-cased."""
+    """Tokens that every matching URL has, letters lower-cased; `*` marks where a URL's token may go on.
+
+    Whole tokens where the rule has some, else ends (`*spam`) and beginnings (`farm*`) of tokens, else parts (`*bet*`).
+    """
     body = rule.pattern.lower()
     start = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
     body = body[len(start) :]
-    found = []
+    found = defaultdict(list)
     for m in TOKEN.finditer(body):
         left = m.start() > 0 and body[m.start() - 1] != "*" or m.start() == 0 and bool(start)
         right = m.end() < len(body) and body[m.end()] != "*"
-        if left and right:
-            found.append(m[0])
-    return found
+        found[left + right].append(("" if left else "*") + m[0] + ("" if right else "*"))
+    return found[max(found)] if found else []
+
+
+def shapes_of(tokens: Iterable[str]) -> list[tuple[bool, bool, int]]:
+    """Whether a token may go on before and after, and the length, of those tokens that are not whole."""
+    return sorted({(t[0] == "*", t[-1] == "*", len(t.strip("*"))) for t in tokens if "*" in t})
+
+
+def parts_of(token: str, shapes: list[tuple[bool, bool, int]]) -> Iterator[str]:
+    """The parts of a URL's token that have one of the shapes, marked as in tokens_of."""
+    for before, after, n in shapes:
+        last = len(token) - n
+        if last >= 0:
+            starts = range(last + 1) if before and after else [last if before else 0]
+            yield from (f"{'*' * before}{token[i : i + n]}{'*' * after}" for i in starts)
+
+
+def _parts_column(words: Column, before: bool, after: bool, n: int) -> Column:
+    """parts_of all words for one shape."""
+    long_ = F.filter(words, lambda t: F.length(t) >= n)
+    cut = lambda t, i: F.concat(F.lit("*" * before), t.substr(i, F.lit(n)), F.lit("*" * after))
+    if before and after:
+        return F.flatten(F.transform(long_, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: cut(t, i))))
+    return F.transform(long_, lambda t: cut(t, F.length(t) - n + 1 if before else F.lit(1)))
 
 
 def token_counts(urls: DataFrame, url: str, rules: tuple[Rule, ...]) -> dict[str, int]:
@@ -91,7 +119,9 @@ def token_counts(urls: DataFrame, url: str, rules: tuple[Rule, ...]) -> dict[str
     if not wanted:
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url)), F.lit("([a-z0-9]+)"), 1))
-    hits = urls.select(F.explode(F.filter(words, lambda t: t.isin(wanted))).alias("token"))
+    parts = F.concat(F.col("words"), *[_parts_column(F.col("words"), *shape) for shape in shapes_of(wanted)])
+    held = urls.select(words.alias("words")).select(F.array_distinct(F.filter(parts, lambda t: t.isin(wanted))).alias("held"))
+    hits = held.select(F.explode("held").alias("token"))
     return {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -127,11 +157,14 @@ class Matcher:
     def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
         self.rules, self.tried = rules, 0
         self.index, self.rest = build_index(rules, counts)
+        self.shapes = shapes_of(self.index)
         self.found = [re.compile(compiled(r), re.S) for r in rules]
 
     def best(self, seen: str, rest: str) -> Rule | None:
         """The winning rule for what split_url gives; only candidates of the URL's tokens are tried."""
-        candidates = {i for t in set(TOKEN.findall(seen.translate(_UPPER))) for i in self.index.get(t, ())}
+        tokens = set(TOKEN.findall(seen.translate(_UPPER)))
+        tokens.update([p for t in tokens for p in parts_of(t, self.shapes)])
+        candidates = {i for t in tokens for i in self.index.get(t, ())}
         candidates.update(self.rest)
         self.tried += len(candidates)
         hits = [self.rules[i] for i in candidates if self.found[i].search(rest if self.rules[i].pattern.startswith("||") else seen)]

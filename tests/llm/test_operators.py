@@ -243,6 +243,49 @@ def test_rules_share_the_risk(spark):
         assert quality.binomial_at_most(hit, len(own), 0.02) <= 0.05 / 4
 
 
+def test_kept_follows_plain_cutoffs(spark):
+    """The whole report, with cutoffs at work, against a plain reading of the chains."""
+    r, rng = random.Random(6), np.random.default_rng(6)
+    words = ["alpha", "be", "gamma", "delta", "eps", "zeta", "eta", "iota", "kappa", "lambda"]
+
+    def text(bad):
+        out = [r.choice(words) + str(r.randrange(50)) for _ in range(r.randint(8, 90))]
+        lines = [" ".join(out[i : i + 7]) for i in range(0, len(out), 7)]
+        lines += [lines[0]] * int(rng.poisson(0.2 + 2 * bad))
+        return "\n".join(lines) + " #" * int(rng.poisson(0.3 + 40 * bad))
+
+    rows = [(i, text(i % 9 == 0), ["en", "de", "fr"][0 if i % 20 < 12 else 1 if i % 20 < 19 else 2], int(i % 9 != 0)) for i in range(1500)]
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3], 0) for x in rows if x[0] % 7], "doc_id long, quality int, toxic int")
+
+    def values(t):
+        own, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        c = Counter(tuple(own[k : k + 5]) for k in range(len(own) - 4))
+        rep = len({k + j for k in range(len(own) - 4) if c[tuple(own[k : k + 5])] > 1 for j in range(5)})
+        chars = sum(map(len, own))
+        return [sum(ch in "#*$%&|<>" for ch in t) / chars, (len(lines) - len(set(lines))) / len(lines), rep / len(own), chars / len(own), -float(len(own))], len(own) < 10 or 100 * rep > 20 * len(own)
+
+    told = {x[0]: values(x[1]) for x in rows}
+    rules, cuts = quality.RULES, {}
+    for lang in ("en", "de", "fr"):
+        good = [told[x[0]][0] for x in rows if x[2] == lang and x[3] and x[0] % 7]
+        blocks = max(k for k in range(len(good)) if k == 0 or quality.binomial_at_most(k - 1, len(good), quality.RISK) <= quality.LEVEL / 3)
+        cut = [float("inf")] * 5
+        for c in range(5):
+            chain = [((c + j) % 5, s) for j in range(5) for s in rules[(c + j) % 5].steps]
+            left = blocks // 5 + (c < blocks % 5)
+            if left:
+                places = sorted(next((i for i, (k, s) in enumerate(chain) if v[k] > s), len(chain)) for v in good)
+                for k, s in chain[: places[left - 1]]:
+                    cut[k] = min(cut[k], s)
+        cuts[lang] = cut
+    assert min(cuts["en"]) < float("inf") and cuts["fr"] == [float("inf")] * 5
+    got = by_id(quality.quality_report(docs, labels))
+    want = {x[0]: not told[x[0]][1] and all(v <= c for v, c in zip(told[x[0]][0], cuts[x[2]], strict=True)) for x in rows}
+    assert {i: g.kept for i, g in got.items()} == want
+    assert sum(not k and not told[i][1] for i, k in want.items()) > 20
+
+
 # --- fingerprints ---------------------------------------------------------------------------------------
 
 
@@ -447,7 +490,8 @@ def test_urls(spark):
 def test_index_finds_what_a_scan_finds():
     r = random.Random(2)
     parts = ["ads", "x1", "shop", "a-b", "img", "z"]
-    rules = tuple(url_filter.Rule(r.choice(["||", "|http", "", "^", "*"]) + r.choice([".", "/", ""]).join(r.sample(parts, 2)) + r.choice(["^", "/", "*", "|", ""]), r.choice(["block", "allow"]), str(i), i) for i in range(60))
+    loose = tuple(url_filter.Rule(p, "block", p) for p in ("ho", "-b", "ds-", "a-", "*mg*", "s*x", "hop"))
+    rules = tuple(url_filter.Rule(r.choice(["||", "|http", "", "^", "*"]) + r.choice([".", "/", ""]).join(r.sample(parts, 2)) + r.choice(["^", "/", "*", "|", ""]), r.choice(["block", "allow"]), str(i), i) for i in range(60)) + loose
     matcher = url_filter.Matcher(rules, {"ads": 9, "x1": 1})
     tried = 0
     for _ in range(400):
@@ -457,7 +501,26 @@ def test_index_finds_what_a_scan_finds():
         best = max(hits, key=lambda x: (x.rank, x.action == "block", x.pattern), default=None)
         assert matcher.best(seen, rest) == best
         tried = matcher.tried
-    assert tried < 400 * len(rules)
+    assert tried < 400 * len(rules) and not matcher.rest
+
+
+def test_every_default_rule_has_a_token(spark):
+    assert not url_filter.Matcher(url_filter.DEFAULT_RULES, {}).rest
+    assert url_filter.tokens_of(url_filter.Rule("spam-farm", "block")) == ["*spam", "farm*"]
+    assert url_filter.tokens_of(url_filter.Rule("bet", "block")) == ["*bet*"] and url_filter.tokens_of(url_filter.Rule("/bet-x", "block")) == ["bet"]
+    rules = (*url_filter.DEFAULT_RULES, url_filter.Rule("bet", "block"), url_filter.Rule("a1", "block"))
+    urls = ["http://x.org/mySPAM-farms/casino-win", "http://bet.alphabet.org/bets-bet", "http://casino-x.org/casino/", "https://a1.b", None, "", "http://é.org/a1a1"] * 2
+    wanted = {t for r in rules for t in url_filter.tokens_of(r)}
+    plain = Counter()
+    for u in urls:
+        told = set(re.findall("[a-z0-9]+", (u or "").lower()))
+        fits = {"**": lambda t, p: p in t, "*": lambda t, p: t.endswith(p), "_*": lambda t, p: t.startswith(p), "": lambda t, p: t == p}
+        for w in wanted:
+            kind = "**" if w[0] == w[-1] == "*" else "*" if w[0] == "*" else "_*" if w[-1] == "*" else ""
+            plain[w] += any(fits[kind](t, w.strip("*")) for t in told)
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert url_filter.token_counts(df, "url", rules) == +plain
+    assert [r.verdict for r in url_filter.url_verdicts(df, rules).orderBy("page_id").collect()[:7]] == ["block", "block", "block", "block", "allow", "allow", "block"]
 
 
 # --- BPE ------------------------------------------------------------------------------------------------
@@ -604,6 +667,58 @@ def test_flow_prefers_first_copies():
     assert all(sum(f for _, f in way) <= 20 for way in got) and sum(max(0, sum(f for _, f in way) - 10) for way in got) == 15
 
 
+def test_flow_is_cheapest():
+    """Against all ways to route the words of small instances: as much as can be routed, at the least cost."""
+    from itertools import product
+
+    r = random.Random(9)
+    for _ in range(60):
+        names = ["a", "b", "c"][: r.randint(1, 3)]
+        patterns = [(tuple(r.sample(names, r.randint(1, len(names)))), r.randint(0, 2)) for _ in range(r.randint(1, 3))]
+        quotas, times = {s: r.randint(0, 5) for s in names}, r.randint(1, 3)
+        ways = [[w for w in product(range(times * n + 1), repeat=len(sources)) if sum(w) <= times * n] for sources, n in patterns]
+        cost = lambda f, n: sum(copy * max(0, min(f - copy * n, n)) for copy in range(times))
+        best = (0, 0)
+        for way in product(*ways):
+            into = Counter()
+            for (sources, _), w in zip(patterns, way, strict=True):
+                into.update(dict(zip(sources, w, strict=True)))
+            if all(into[s] <= q for s, q in quotas.items()):
+                best = min(best, (-sum(into.values()), sum(cost(sum(w), n) for (_, n), w in zip(patterns, way, strict=True))))
+        got = mixing.route(patterns, quotas, times)
+        into = Counter()
+        for way, (_, n) in zip(got, patterns, strict=True):
+            into.update(dict(way))
+            assert sum(f for _, f in way) <= times * n
+        assert all(into[s] <= q for s, q in quotas.items())
+        assert (-sum(into.values()), sum(cost(sum(f for _, f in way), n) for way, (_, n) in zip(got, patterns, strict=True))) == best
+
+
+def test_taken_follows_the_flow_in_hash_order(docs):
+    """The whole report against a plain one: targets, then each copy up to the document nearest to the flow's end."""
+    ordered = docs.select("doc_id", "text", "source", mixing.order_of(17, "doc_id", "text").alias("at")).collect()
+    sized = [(r.source, r.at, len(WORD.findall(r.text or "")), r.doc_id) for r in ordered]
+    size = Counter()
+    for s, _, n, _ in sized:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    targets = dict(zip(names, mixing.water_fill([size[s] for s in names], [3, 1, 2], mixing.Fraction(3, 2) * sum(size.values()), 2), strict=True))
+    want = Counter()
+    for s in names:
+        own, upto = sorted((r for r in sized if r[0] == s), key=lambda r: r[1]), round(targets[s])
+        copies = Counter()
+        for copy in range(2):
+            before, cut = 0, None
+            for _, at, n, _ in own:
+                if cut is None and before + n / 2 + copy * size[s] > upto:
+                    cut = at
+                before += n
+            copies.update({i: 1 for i, r in enumerate(own) if r[2] and (cut is None or r[1] < cut)})
+        want.update((r[3], r[2], size[s], round(float(targets[s]), 6), copies[i] * r[2]) for i, r in enumerate(own))
+    got = Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.mix_report(docs).collect())
+    assert got == want
+
+
 def test_mix(docs):
     rows = mixing.mix_report(docs).collect()
     again = mixing.mix_report(docs).collect()
