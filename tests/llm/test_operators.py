@@ -252,7 +252,7 @@ def test_kept_follows_plain_cutoffs(spark):
         out = [r.choice(words) + str(r.randrange(50)) for _ in range(r.randint(8, 90))]
         lines = [" ".join(out[i : i + 7]) for i in range(0, len(out), 7)]
         lines += [lines[0]] * int(rng.poisson(0.2 + 2 * bad))
-        return "\n".join(lines) + " #" * int(rng.poisson(0.3 + 40 * bad))
+        return "\n".join(lines) + "#" * int(rng.poisson(0.3 + 40 * bad))
 
     rows = [(i, text(i % 9 == 0), ["en", "de", "fr"][0 if i % 20 < 12 else 1 if i % 20 < 19 else 2], int(i % 9 != 0)) for i in range(1500)]
     docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
