@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from plumbline.evaluators import prompts, responses
 from plumbline.evaluators.protocol import Overlap, adapter, response_text
 from plumbline.functions import text as tx
-from plumbline.functions.quantities import contextual_years, find_numbers, mask_structural, normalize_accounting, normalize_european, prepared
+from plumbline.functions.number_columns import masked_structural, normal_accounting, normal_european, years_in_context
+from plumbline.functions.quantities import find_numbers, prepared
 from plumbline.model import GENERAL, LEXICAL_PASS, Config
 from plumbline.operators import clauses, costs, fuzzy, numeric, results, retrieval
 from plumbline.operators.chunking import chunk_sources, whole_chunks
@@ -380,32 +381,17 @@ def q_pinned_chunks(spark, sf):
 # --- numbers ---------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _masked(text):
-    return text.map(mask_structural)
-
-
-@F.pandas_udf(T.StringType())
-def _normal(text):
-    return text.map(lambda t: normalize_european(normalize_accounting(t)))
-
-
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("raw", T.StringType())])))
 def _numbers(text):
     return text.map(lambda t: [{"value": n.value, "raw": n.raw} for n in find_numbers(prepared(t), False)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _years(text):
-    return text.map(contextual_years)
-
-
 @query
 def q_mask_structural(spark, sf):
     """Texts with labelling numbers, masked."""
     p = read(spark, sf, "part")
     t = F.concat(F.lit("Section "), F.col("p_size"), F.lit(" has [12] and "), F.col("p_partkey"), F.lit(" items on page "), F.col("p_size"), F.lit("."))
-    return p.select("p_partkey", _masked(t).alias("masked"))
+    return p.select("p_partkey", masked_structural(t).alias("masked"))
 
 
 @query
@@ -414,7 +400,7 @@ def q_number_forms(spark, sf):
     p = read(spark, sf, "part")
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     t = F.concat(F.lit("Loss ($"), price, F.lit(") or "), F.col("p_size"), F.lit(",50 each"))
-    return p.select("p_partkey", _normal(t).alias("normal"))
+    return p.select("p_partkey", normal_european(normal_accounting(t)).alias("normal"))
 
 
 @query
@@ -430,7 +416,7 @@ def q_years(spark, sf):
     o = read(spark, sf, "orders")
     y = F.year("o_orderdate").cast("string")
     t = F.concat(F.lit("Placed in "), y, F.lit(" and "), (F.year("o_orderdate") + 1).cast("string"), F.lit(", code 1234, FY"), y)
-    return o.select("o_orderkey", F.array_join(_years(t), ",").alias("years"))
+    return o.select("o_orderkey", F.array_join(years_in_context(t), ",").alias("years"))
 
 
 @query

@@ -1,10 +1,14 @@
 """Numbers, ranges, years and conflicts between them."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lex
+from plumbline.functions import number_columns as nc
 from plumbline.functions import quantities as q
 from plumbline.operators.numeric import check_claims
 
@@ -96,3 +100,16 @@ def test_years_and_hedges():
     assert q.hedge("at least 20 people", 9) == "lower"
     assert q.hedge("no more than 20", 13) == "upper"
     assert q.hedge("It ended. 20 people", 10) is None
+
+
+def test_number_columns_equal_the_readers(spark):
+    r = random.Random(5)
+    bits = ["in 2023", "FY2024", "Q3 2021 and 2022", "as of 1999, 2000", "($1,234.5M)", "(5)", "( 1,234 )", "1.234,56", "12,50", "12,500", "[12]", "Section 4.2", "Phase IV", "step 3 of 9", "\n 1. ", "\n(2) ", "3rd", "v1.2.3", "10.0.0.1", "+1 555-123-4567", "Mar 3", "12:30", "Table\u00a07", "\x1c", "é", "٣", "\r2) ", "during", "and", "€ 9,99", "(€9)"]
+    texts = ["", "Phase IV without one", None, "for " + " " * 99 + "2020", "in " + "2019, " * 30] + [r.choice(["", " ", ", "]).join(r.choices(bits, k=r.randint(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    t = F.col("t")
+    got = df.select("i", nc.masked_structural(t).alias("m"), nc.normal_accounting(t).alias("a"), nc.normal_european(t).alias("e"), nc.years_in_context(t).alias("y")).collect()
+    for row in got:
+        x = texts[row.i]
+        want = (None,) * 4 if x is None else (q.mask_structural(x), q.normalize_accounting(x), q.normalize_european(x), q.contextual_years(x))
+        assert tuple(row)[1:] == want, x
