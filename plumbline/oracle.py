@@ -211,6 +211,15 @@ SELECT p_partkey::VARCHAR AS claim_id, p_partkey % 3 = 1 AS has_conflict, CASE W
     "q_conflict_fast_exit": f"""
 SELECT p_partkey::VARCHAR AS claim_id, 'CONTRADICTED' AS status, 'tier25_numerical' AS verification_method, 0.0::DOUBLE AS factual_consistency_score, 'part_' || p_partkey AS sources_used,
   'The retail price is ' || CASE WHEN p_partkey % 5 = 0 THEN 'approximately ' ELSE '' END || '$' || {_TOLD} || ' today.' AS offending_claim FROM part WHERE {_CLASH}
+""",
+    "q_response_text": """
+WITH r AS (SELECT item_id AS i, to_json(text)::VARCHAR AS t, item_id % 11 = 10 AS junk, 's' || item_id % 5 AS s FROM benchmark),
+j AS (SELECT i, junk, '{"textual_entailment":{"label":"' || CASE i % 3 WHEN 0 THEN 'Entailment' WHEN 1 THEN 'Contradiction' ELSE 'Neutral' END || '","probability":' || CASE WHEN i % 7 = 6 THEN '1.5' ELSE '0.5' END
+  || '},"conceptual_coverage":{"percentage":50.0},"factual_consistency_score":75.0,"verifications":[{"claim_text":' || t || ',"status":"' || CASE i % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNVERIFIABLE' END
+  || '","source_id":"' || s || '"' || CASE WHEN i % 4 = 3 THEN '' ELSE ',"source_excerpt":' || t END || CASE WHEN i % 8 = 3 THEN ',"reasoning_basis":["sum of two figures"]' ELSE '' END
+  || '}],"source_attributions":[{"source_id":"' || s || '","role":"Supporting"},{"source_id":"s99","role":"Supporting"},{"source_id":"s1","role":"Not Used"}],"overall_verdict":"Verdict ' || i || '"}' AS json FROM r)
+SELECT i AS item_id, CASE WHEN i % 5 = 3 THEN CASE WHEN i % 2 = 0 THEN '{"a": 1}' ELSE '' END WHEN i % 2 = 0 AND i % 5 = 2 THEN ''
+  WHEN NOT junk THEN json WHEN i % 2 = 0 THEN 'no JSON here' ELSE CASE i % 5 WHEN 1 THEN '<think>so {x}</think>' WHEN 2 THEN '<think>' ELSE '' END || 'no JSON here' END AS json FROM j
 """,
     "q_response_validate": f"WITH {_MODEL_ROW} SELECT item_id, error IS NULL AS valid, error FROM va",
     "q_llm_result": f"""
