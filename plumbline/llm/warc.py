@@ -34,12 +34,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     """One WARC/1.1 record. A revisit keeps the HTTP header, with the payload's length, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
-    lines.append("WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode())
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to, digest)}", f"WARC-Profile: {_PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -98,8 +99,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, dict[str, str], bytes]:
     return fields, block, dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:]), payload
 
 
+def _urn(page_id: int | None, digest: str) -> str:
+    """A record's name: rows of one page_id, or without one, are told apart by their payloads."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+
+
 def _page(urn: str | None) -> int | None:
-    return int(urn[10:-1]) if urn and urn != "<urn:page:>" else None
+    page = urn.split(":")[2] if urn else ""
+    return int(page) if page else None
 
 
 def write_warc(pages: DataFrame, scratch: Scratch, page: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -107,11 +114,12 @@ def write_warc(pages: DataFrame, scratch: Scratch, page: str = "page_id", url: s
 
     A payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least min_revisit bytes
     the one with the largest page_id is a response and the others revisit it; smaller ones are all responses.
-    Repeated rows with that page_id are all responses; a null page_id is below all others and, where a payload
-    has no other, all of its records are responses. Groups are found by digest and length: one aggregation that
-    combines before its shuffle, then a join whose large side can be split where one payload is very common;
-    payloads that cannot be revisits carry keys of their own. Task attempts write files of their own names, and
-    only those in the manifest, itself written once, count.
+    Repeated rows with that page_id are all responses; only rows equal in page_id and payload share a record's name.
+    A null page_id is below all others and, where a payload has no other, all of its records are responses. Groups
+    are found by digest and length: one aggregation that combines before its shuffle, then a join whose large side
+    can be split where one payload is very common; payloads that cannot be revisits carry keys of their own. Task
+    attempts write files of their own names, and only those in the manifest, itself written once, count. Archives
+    go through pyarrow's file systems, so the shared folder must be one of theirs (file, hdfs, s3, gs, abfs).
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
