@@ -31,6 +31,8 @@ BUCKETS = 1 << 16
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 240, 800_000, 512
 _LETTER = re.compile(r"[^\W\d_]")
 _ROUNDS, _RATE, _DECAY = 24, 0.25, 1e-4
+#: Stretches learned from side by side.
+_SIDE = 1024
 
 
 @dataclass(frozen=True)
@@ -234,7 +236,7 @@ def fit(sample: list[tuple[str, bytes]], seed: int = 5) -> Model:
         gold[: len(ks), s], mask[: len(ks), s] = ks, True
     names = list(known)
     width = 4096
-    columns = [feature_columns(names[i : i + width], lexicon, lexicon_label) for i in range(0, len(names), width)]
+    columns = [feature_columns(names[i : i + width], lexicon, lexicon_label).astype(np.int32) for i in range(0, len(names), width)]
     n = len(labels)
     weights = np.zeros((BUCKETS + n, n), np.float32)
     moves = np.zeros((n, n))
@@ -242,13 +244,17 @@ def fit(sample: list[tuple[str, bytes]], seed: int = 5) -> Model:
     real = np.zeros((n, n))
     both = mask[1:] & mask[:-1]
     np.add.at(real, (gold[:-1][both], gold[1:][both]), 1)
-    truth = np.eye(n, dtype=np.float32)[gold]
+    truth = np.eye(n, dtype=np.float32)
     total = mask.sum()
     for _ in range(_ROUNDS):
         e = np.concatenate([weights[c].sum(axis=1) for c in columns])
-        post, pairs = forward_backward(e[ids].astype(np.float64), mask, moves)
-        error = ((truth - post) * mask[:, :, None]).reshape(-1, n) / total
-        by_word = np.stack([np.bincount(ids.ravel(), error[:, k], len(names)) for k in range(n)], axis=1)
+        by_word, pairs = np.zeros((len(names), n)), np.zeros((n, n))
+        for s in range(0, len(stretches), _SIDE):
+            i, ok = ids[:, s : s + _SIDE], mask[:, s : s + _SIDE]
+            post, moved = forward_backward(e[i].astype(np.float64), ok, moves)
+            error = ((truth[gold[:, s : s + _SIDE]] - post) * ok[:, :, None]).reshape(-1, n) / total
+            by_word += np.stack([np.bincount(i.ravel(), error[:, k], len(names)) for k in range(n)], axis=1)
+            pairs += moved
         step = np.zeros(weights.shape)
         start = 0
         for c in columns:
