@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -48,20 +50,24 @@ def _white_space(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def encode(encoding, pattern: str, text: str, limit: int = LONG_TEXT) -> list[int]:
-    """Ids of a whole text."""
+def encode_parts(encoding, pattern: str, text: str, limit: int = LONG_TEXT) -> Iterator[list[int]]:
+    """Ids of a whole text, in parts of its order."""
     if len(text) <= limit:
-        return encoding.encode_ordinary(text)
+        yield encoding.encode_ordinary(text)
+        return
     import regex
 
-    out: list[int] = []
     for piece in pieces(text, limit):
         if len(piece) <= 2 * limit:
-            out += encoding.encode_ordinary(piece)
+            yield encoding.encode_ordinary(piece)
         else:
             for match in regex.finditer(_white_space(pattern), piece):
-                out += encoding._encode_single_piece(match[0].encode())
-    return out
+                yield encoding._encode_single_piece(match[0].encode())
+
+
+def encode(encoding, pattern: str, text: str, limit: int = LONG_TEXT) -> list[int]:
+    """Ids of a whole text."""
+    return [i for part in encode_parts(encoding, pattern, text, limit) for i in part]
 
 
 def bpe_tokens(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -86,17 +92,26 @@ def bpe_tokens(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
         encoding = load_encoding(ranks, pattern)
         decimal = [str(i) for i in range(encoding.n_vocab)]
         for batch, texts in slices(batches, text):
-            rows = [[], [], [], []]
+            rows = [[], [], []]
+            flat, ends = array("i"), [0]
             for raw in texts:
-                got = encode(encoding, pattern, raw.decode())
-                rows[0].append(len(got))
-                rows[1].append(hashlib.sha256(" ".join([decimal[i] for i in got]).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(encoding.decode_bytes(got)).hexdigest())
-                if ids:
-                    rows[3].append(got)
+                n, told_ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for part in encode_parts(encoding, pattern, raw.decode()):
+                    if not part:
+                        continue
+                    told_ids.update((" " * (n > 0) + " ".join([decimal[i] for i in part])).encode())
+                    decoded.update(encoding.decode_bytes(part))
+                    n += len(part)
+                    if ids:
+                        flat.extend(part)
+                for column, x in zip(rows, (n, told_ids.hexdigest(), decoded.hexdigest()), strict=True):
+                    column.append(x)
+                ends.append(ends[-1] + n)
+            if ids:
+                rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32))))
             own = [batch.column(n) for n, _ in ddl]
             fields = [pa.field(n, c.type) for (n, _), c in zip(ddl, own, strict=True)] + [pa.field(n, t) for n, t in arrow]
-            yield batch_of(pa.schema(fields), *own, *rows[: len(arrow)])
+            yield batch_of(pa.schema(fields), *own, *rows)
 
     return kept.mapInArrow(run, out)
 
