@@ -548,6 +548,19 @@ def test_bpe(docs, vocabulary):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_of_long_texts_in_parts(spark, vocabulary):
+    r = random.Random(8)
+    long = " ".join(r.choice(["word", "12", "é!", "\n", "naïve's"]) for _ in range(60_000))
+    rows = [(1, long), (2, None), (3, ""), (4, " " * 200_000 + "x"), (5, long)]
+    got = {r.doc_id: r for r in bpe.bpe_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), *vocabulary).collect()}
+    plain = bpe.load_encoding(*vocabulary)
+    for i, t in rows:
+        ids = plain.encode_ordinary(t or "") if i != 4 else got[4].token_ids
+        assert got[i].token_ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 def test_bpe_cuts_change_nothing(vocabulary):
     ranks, pattern = vocabulary
     encoding = bpe.load_encoding(ranks, pattern)
@@ -767,9 +780,18 @@ def test_warc(spark):
         revisit = first is not None and first != i
         want[i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", first if revisit else None] += 1
     assert got == want
-    path = manifest.head()["path"].removeprefix("file://")
-    with open(path, "rb") as f:
-        assert f.read(4) == bytes.fromhex("5D2A4D18")
+    names, refers = Counter(), set()
+    for r in manifest.collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            assert f.read(4) == bytes.fromhex("5D2A4D18")
+            f.seek(0)
+            for raw in warc.read_archive(f):
+                fields = warc.parse(raw)[0]
+                names[fields["WARC-Record-ID"]] += 1
+                refers.add(fields.get("WARC-Refers-To"))
+    # only rows equal in page_id and payload share a name; revisits name records that exist
+    assert sorted(names.values()) == sorted(Counter((i, h or "") for i, _, h in rows).values())
+    assert refers - {None} and refers - {None} <= set(names)
 
 
 # --- empty tables ---------------------------------------------------------------------------------------
