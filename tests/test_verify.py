@@ -131,6 +131,22 @@ def test_clause_gets_its_terms(spark):
     assert r.status in ("VERIFIED", "UNVERIFIABLE") and r.claim_id == "1"
 
 
+def test_clauses_with_the_same_terms_share_their_sources(spark, monkeypatch):
+    defs = spark.createDataFrame([("c", 0, "d0", '"Total Fee" means the sum of all.', "legal_definition")], "corpus_id string, source_ord long, source_id string, content string, source_type string")
+    texts = [f"Buyer {i} shall pay the Total Fee." for i in range(6)] + ["Rain fell on Monday."]
+    clauses = spark.createDataFrame([(str(i), "c", t) for i, t in enumerate(texts)], "clause_id string, corpus_id string, clause string")
+    given = []
+
+    def seen(claims, sources, *how):
+        given.append(sources.count())
+        return verify(claims, sources, *how)
+
+    monkeypatch.setattr("plumbline.plans.verify.verify", seen)
+    rows = verify_clause(clauses, corpus(spark), terms(defs), evaluator=Overlap(share=0.1)).collect()
+    assert {(r.claim_id, r.corpus_id) for r in rows} == {(str(i), f"c|{i}") for i in range(7)}
+    assert given == [2 * len(FACTS) + 1]
+
+
 def test_structured(spark):
     df = spark.createDataFrame([("1", "c", '{"a": {"b": "5M"}}'), ("2", "c", "not json")], "claim_id string, corpus_id string, rec string")
     r = settled(verify_structured(df, "rec", corpus(spark, ["a.b: 5M"]), evaluator=Overlap(), schema="a struct<b:string>"))
