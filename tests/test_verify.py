@@ -2,6 +2,7 @@
 
 import json
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from plumbline.evaluators.protocol import Overlap, Scripted, salvaged
 from plumbline.model import CITATION, GENERAL, STRICT, Config, GroundingError, HallucinatedEvidenceError, InvariantError
 from plumbline.operators import results
 from plumbline.operators.fuzzy import indel_ratio, partial_ratio
-from plumbline.plans.stages import Stages
+from plumbline.plans.stages import _LEFT, Stages
 from plumbline.plans.verify import assert_faithful, assert_grounded, audited, logged, raise_failure, verify, verify_analysis, verify_answer, verify_clause, verify_or_retry, verify_structured
 from plumbline.sources.accumulate import terms, with_boundary_context
 from plumbline.sources.tables import document_texts, docx_paragraphs, paragraph_sources, sections, xlsx_rows
@@ -147,6 +148,21 @@ def test_clauses_with_the_same_terms_share_their_sources(spark, monkeypatch):
     assert given == [2 * len(FACTS) + 1]
 
 
+def test_written_stages_relieve_a_grown_heap():
+    class Runtime:
+        def __init__(self, total):
+            self.totalMemory, self.maxMemory = lambda: total, lambda: 100
+
+    for total, times in ((80, 1), (30, 0)):
+        done = []
+        jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda t=total: Runtime(t)))), System=SimpleNamespace(gc=lambda d=done: d.append(1)))
+        rows = SimpleNamespace(write=SimpleNamespace(parquet=lambda path: None), schema=None)
+        reader = SimpleNamespace(schema=lambda s: SimpleNamespace(parquet=lambda path: path))
+        Stages(SimpleNamespace(_jvm=jvm, conf={"spark.checkpoint.dir": "file:///none"}, read=reader), "p").keep(rows, "t")
+        assert len(done) == times
+        _LEFT.pop()
+
+
 def test_structured(spark):
     df = spark.createDataFrame([("1", "c", '{"a": {"b": "5M"}}'), ("2", "c", "not json")], "claim_id string, corpus_id string, rec string")
     r = settled(verify_structured(df, "rec", corpus(spark, ["a.b: 5M"]), evaluator=Overlap(), schema="a struct<b:string>"))
