@@ -59,10 +59,10 @@ def _sequence(lines: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 def grams_of(lines: list[bytes], depth: int) -> np.ndarray:
     """The context of depth bytes and the next byte, packed in a number, for each counted byte."""
     data, counts = _sequence(lines, depth)
-    out = np.zeros(len(data) - depth, np.uint64)
-    for j in range(depth + 1):
-        out = (out << np.uint64(8)) | data[j : len(data) - depth + j]
-    return out[counts[depth:]]
+    size = len(data) - depth
+    # eight bytes from each place on, the first one highest
+    ahead = np.ndarray((size,), ">u8", np.append(data, np.zeros(7 - depth, np.uint8)), strides=(1,))
+    return ahead[counts[depth:]].astype(np.uint64) >> np.uint64(8 * (7 - depth))
 
 
 def added(keys: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,26 +106,34 @@ def _bytes(codes: np.ndarray, count: int) -> np.ndarray:
 def score_grams(lines: list[bytes], keys: np.ndarray, logp: np.ndarray, depth: int) -> tuple[np.ndarray, pa.ListArray]:
     """Sums of the log10 probabilities of each line's grams that are in the sorted keys, and its other grams with their times.
 
-    Grams are looked up in order, which reads the keys once instead of at random.
+    A gram leaves some bits free for its line's number: so many lines at once are sorted as plain numbers, each gram
+    of a line is looked up once, in order, which reads the keys once instead of at random.
     """
-    grams = grams_of(lines, depth)
-    ends = np.cumsum([len(x) + 1 for x in lines])
-    by = np.argsort(grams)
-    ordered = grams[by]
-    told, hit = np.zeros(len(grams)), np.zeros(len(grams), bool)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)
-        hit = keys[at] == ordered
-        told[by] = np.where(hit, logp[at], 0)
-    score = np.add.reduceat(told, ends - [len(x) + 1 for x in lines])
-    odd, owner = ordered[~hit], np.searchsorted(ends, by[~hit], "right")
-    by = np.lexsort((odd, owner))
-    owner, odd = owner[by], odd[by]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (odd[1:] != odd[:-1])])) if len(odd) else np.zeros(0, np.int64)
-    times = np.diff(np.append(new, len(odd))).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(odd[new].view(np.int64)), pa.array(times)], ["gram", "times"])
-    offsets = np.searchsorted(owner[new], np.arange(len(lines) + 1)).astype(np.int32)
-    return score, pa.ListArray.from_arrays(pa.array(offsets), pairs)
+    bits = min(64 - 8 * (depth + 1), 16)
+    scores, owners, odds, counts = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(lines), 1 << bits):
+        own = lines[start : start + (1 << bits)]
+        grams = grams_of(own, depth) << np.uint64(bits)
+        grams |= np.repeat(np.arange(len(own), dtype=np.uint64), [len(x) + 1 for x in own])
+        grams.sort()
+        new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        times = np.diff(np.append(new, len(grams)))
+        line = (grams[new] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        gram, told, hit = grams[new] >> np.uint64(bits), np.zeros(len(new)), np.zeros(len(new), bool)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+            hit = keys[at] == gram
+            told = np.where(hit, times * logp[at], 0)
+        scores.append(np.bincount(line, told, len(own)))
+        rest = np.flatnonzero(~hit)
+        rest = rest[np.argsort(line[rest].astype(np.uint16), kind="stable")]
+        owners.append(start + line[rest])
+        odds.append(gram[rest])
+        counts.append(times[rest])
+    odd, times, owner = np.concatenate(odds), np.concatenate(counts).astype(np.int32), np.concatenate(owners)
+    pairs = pa.StructArray.from_arrays([pa.array(odd.view(np.int64)), pa.array(times)], ["gram", "times"])
+    offsets = np.searchsorted(owner, np.arange(len(lines) + 1)).astype(np.int32)
+    return np.concatenate(scores), pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
 def learning(key: str = "doc_id"):

@@ -817,3 +817,18 @@ def test_empty(spark, docs, vocabulary):
         assert df.count() == 0
     assert quality.quality_report(docs, labels).where("rejected_by NOT IN ('base')").count() == 0
     assert F.lit(1) is not None
+
+
+def test_each_gram_of_a_line_is_looked_up_once(monkeypatch):
+    sizes, found = [], np.searchsorted
+
+    def counting(a, v, *how):
+        sizes.append(np.size(v))
+        return found(a, v, *how)
+
+    lines = [b"ab" * 5000, b"", b"xyz"]
+    keys = np.unique(suffix_tree.grams_of(lines[:2], 6))
+    monkeypatch.setattr(suffix_tree.np, "searchsorted", counting)
+    score, odd = suffix_tree.score_grams(lines, keys, np.full(len(keys), -1.0, np.float32), 6)
+    assert score.tolist() == [-10001.0, -1.0, 0.0] and [len(x) for x in odd.to_pylist()] == [0, 0, 4]
+    assert max(sizes) < 50
