@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.shared import batch_of, slices
+from plumbline.llm.shared import batch_of, slices, slim
 
 #: Texts over so many bytes are cut; the library's own matcher overflows on far longer runs of white space.
 LONG_TEXT = 32_768
@@ -113,7 +113,7 @@ def bpe_tokens(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
             fields = [pa.field(n, c.type) for (n, _), c in zip(ddl, own, strict=True)] + [pa.field(n, t) for n, t in arrow]
             yield batch_of(pa.schema(fields), *own, *rows)
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(slim(run), out)
 
 
 def _int_array():

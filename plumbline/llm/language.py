@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import batch_of, slices
+from plumbline.llm.shared import batch_of, slices, slim
 
 STRETCH = 64
 #: Longer words are cut into pieces of so many bytes.
@@ -379,7 +379,7 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", keep: lis
             fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
             yield batch_of(pa.schema(fields), *own, [x for x, _ in got], [x for _, x in got])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(slim(run), out)
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "passages") -> DataFrame:
@@ -406,4 +406,4 @@ def label_words(docs: DataFrame, model: Model, text: str = "text", keep: list[st
             fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field(name, arrow)]
             yield batch_of(pa.schema(fields), *own, got)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(slim(run), out)

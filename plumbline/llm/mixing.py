@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.shared import Scratch, batch_of, slices
+from plumbline.llm.shared import Scratch, batch_of, slices, slim
 
 #: Patterns are aggregated before they reach the driver; more than this is an error, not a truncation.
 MAX_PATTERNS = 100_000
@@ -122,7 +122,7 @@ def _sized(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field("__size", pa.int64())]
             yield batch_of(pa.schema(fields), *own, [len(x.split()) for x in texts])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(slim(run), out)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -104,5 +106,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 start, size = i + 1, 0
 
 
+def slim(run):
+    """run, a function of batches, that returns freed memory to the system at its end, as idle Python workers stay.
+
+    The allocators of Python's libraries and of Arrow else keep what a task once needed beside the executor's heap.
+    """
+
+    def slimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return slimmed
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected
-from plumbline.llm.shared import Scratch, batch_of, slices
+from plumbline.llm.shared import Scratch, batch_of, slices, slim
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
 #: Near-duplicates of five-word shingles at a Jaccard similarity of 0.8: the shingle vectors' cosine is then about
@@ -185,7 +185,7 @@ def fingerprint_table(docs: DataFrame, keep: list[str], text: str = "text", widt
             prints = fingerprints_of(texts, width, second).reshape(len(texts), len(names))
             yield batch_of(pa.schema(fields), *own, *[pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(len(names))])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(slim(run), out)
 
 
 def links(nodes: DataFrame, errors: int = ERRORS, subtrie: int = SUBTRIE, fp: str = "__fp", both: int | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def links(nodes: DataFrame, errors: int = ERRORS, subtrie: int = SUBTRIE, fp: st
             keys, values, *more = map(np.concatenate, zip(*held, strict=True))
             yield from joined(keys, values, more)
 
-    return ready.mapInArrow(run, "u long, v long")
+    return ready.mapInArrow(slim(run), "u long, v long")
 
 
 def _by_trie(keys: np.ndarray) -> list[tuple[int, int]]:

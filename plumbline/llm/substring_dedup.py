@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import ROW_GROUP, Scratch, batch_of, slices
+from plumbline.llm.shared import ROW_GROUP, Scratch, batch_of, slices, slim
 from plumbline.llm.suffix_array import common_prefixes, smaller_than_successor, suffix_array, window_hashes
 
 WIDTH, GRAM = 200, 40
@@ -181,7 +181,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
             yield batch_of(schema, [_digest(t) for t in texts], [tool.compress(t) for t in texts])
 
     # different texts, dealt out and stored by digest once: later joins on it move no text
-    packed = docs.select(F.col(text).alias("__text")).mapInArrow(pack, "digest binary, packed binary")
+    packed = docs.select(F.col(text).alias("__text")).mapInArrow(slim(pack), "digest binary, packed binary")
     table = f"plumbline_texts_{scratch.root.rsplit('-', 1)[1]}"
     once = packed.groupBy("digest").agg(F.first("packed").alias("packed"), (F.count("*") > 1).alias("copied"))
     once.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").options(path=scratch.path("texts"), **ROW_GROUP).saveAsTable(table)
@@ -203,7 +203,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
                 yield batch_of(schema, [digests[r] for r in row], pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)), [copied[r] for r in row])
 
     texts = spark.table(table)
-    found = scratch.keep(texts.mapInArrow(find, "digest binary, hash long, content long, first int, starts int, copied boolean"), "anchors")
+    found = scratch.keep(texts.mapInArrow(slim(find), "digest binary, hash long, content long, first int, starts int, copied boolean"), "anchors")
     again = found.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or("copied").alias("copied")).where("n > 1 OR copied").select("hash")
     again = scratch.keep(again, "again")  # as a table, so that the join can split a hash that very many contexts have
     open_ = scratch.keep(found.join(again, "hash"), "candidates")
@@ -229,7 +229,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
                 rows = [(x, t) for r, t in some for x in wanted[r].as_py()]
                 yield batch_of(schema, *[[x[c] for x, _ in rows] for c in ("hash", "part", "content", "many")], [t[x["first"] : x["first"] + x["starts"] - 1 + width] for x, t in rows])
 
-    contexts = texts.join(lists, "digest").select("packed", "wanted").mapInArrow(cut, "hash long, part int, content long, many boolean, context binary")
+    contexts = texts.join(lists, "digest").select("packed", "wanted").mapInArrow(slim(cut), "hash long, part int, content long, many boolean, context binary")
 
     def sort(batches):
         schema = pa.schema([("hash", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("string", pa.binary())])
@@ -265,7 +265,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
             yield done
 
     ready = contexts.repartition(parts, "hash", "part").sortWithinPartitions("hash", "part")
-    settled = scratch.keep(ready.mapInArrow(sort, "hash long, content long, a int, b int, string binary").hint("rebalance"), "settled")
+    settled = scratch.keep(ready.mapInArrow(slim(sort), "hash long, content long, a int, b int, string binary").hint("rebalance"), "settled")
     # strings that two parts of one hash have
     shared = settled.where("string IS NOT NULL").groupBy("hash", "string").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("content").isNotNull(), F.struct("content", "a", "b"))).alias("at")).where("n > 1")
     across = shared.select("hash", F.explode("at").alias("at")).select("hash", "at.content", "at.a", "at.b")
@@ -285,7 +285,7 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", width: int =
                 left = [kept_bytes(t, run) for (_, t), run in zip(some, runs, strict=True)]
                 yield batch_of(schema, [digests[r] for r, _ in some], [len(t) - len(k) for (_, t), k in zip(some, left, strict=True)], [len(run) for run in runs], [hashlib.sha256(k).hexdigest() for k in left], [press.compress(k) for k in left])
 
-    return texts.join(gone, "digest").mapInArrow(remove, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(gone, "digest").mapInArrow(slim(remove), "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _by_bytes(packed: pa.Array, tool, limit: int = 1 << 20) -> Iterator[list[tuple[int, bytes]]]:
@@ -312,7 +312,7 @@ def _keyed(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             fields = [pa.field(n, c.type) for n, c in zip(keep, own, strict=True)] + [pa.field("__digest", pa.binary()), pa.field("__bytes", pa.int64()), pa.field("__sha256", pa.string())]
             yield batch_of(pa.schema(fields), *own, [_digest(t) for t in texts], [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in texts])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(slim(run), out)
 
 
 def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -356,7 +356,7 @@ def dedup_texts(docs: DataFrame, text: str = "text", chars: str | None = None, *
             yield pa.RecordBatch.from_arrays([texts if f == text else batch.column(f) for f in docs_columns] + [hit], names=[*docs_columns, "__hit"])
 
     docs_columns = docs.columns
-    out = joined.select(*docs_columns, "__kept").mapInArrow(run, docs.select(*docs_columns, F.lit(True).alias("__hit")).schema)
+    out = joined.select(*docs_columns, "__kept").mapInArrow(slim(run), docs.select(*docs_columns, F.lit(True).alias("__hit")).schema)
     if chars:
         out = out.withColumn(chars, F.when(F.col("__hit"), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
     return out.where(~F.col("__hit") | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs_columns)
@@ -370,4 +370,4 @@ def _with_digest(docs: DataFrame, text: str) -> DataFrame:
         for batch, texts in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([_digest(t) for t in texts], pa.binary())], names=[*names, "__digest"])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(slim(run), out)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, fingerprint, language, mixing, quality, simhash, substring_dedup, suffix_array, suffix_tree, url_filter, warc
 from plumbline.llm.components import connected
-from plumbline.llm.shared import Scratch
+from plumbline.llm.shared import Scratch, slim
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, digest string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -832,3 +832,20 @@ def test_each_gram_of_a_line_is_looked_up_once(monkeypatch):
     score, odd = suffix_tree.score_grams(lines, keys, np.full(len(keys), -1.0, np.float32), 6)
     assert score.tolist() == [-10001.0, -1.0, 0.0] and [len(x) for x in odd.to_pylist()] == [0, 0, 4]
     assert max(sizes) < 50
+
+
+def test_workers_give_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        for n in batches:
+            held = [bytes(1000 + i % 100) for i in range(n)]
+            pin = bytes(2000)
+            del held
+            yield pin
+
+    before = resident()
+    pins = list(slim(run)([200_000]))
+    assert len(pins) == 1 and resident() - before < 50 << 20
