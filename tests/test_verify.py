@@ -11,7 +11,8 @@ from plumbline.evaluators.protocol import Overlap, Scripted, salvaged
 from plumbline.model import CITATION, GENERAL, STRICT, Config, GroundingError, HallucinatedEvidenceError, InvariantError
 from plumbline.operators import results
 from plumbline.operators.fuzzy import indel_ratio, partial_ratio
-from plumbline.plans.stages import _LEFT, Stages
+from plumbline.plans import stages
+from plumbline.plans.stages import _LEFT, Stages, trim
 from plumbline.plans.verify import assert_faithful, assert_grounded, audited, logged, raise_failure, verify, verify_analysis, verify_answer, verify_clause, verify_or_retry, verify_structured
 from plumbline.sources.accumulate import terms, with_boundary_context
 from plumbline.sources.tables import document_texts, docx_paragraphs, paragraph_sources, sections, xlsx_rows
@@ -163,6 +164,28 @@ def test_written_stages_relieve_a_grown_heap():
         _LEFT.pop()
 
 
+def test_written_stages_give_native_memory_back(spark, monkeypatch):
+    assert trim(spark)
+    done = []
+    monkeypatch.setattr(stages, "trim", lambda s: done.append(s))
+    Stages(spark, "t").keep(spark.range(3), "n")
+    assert done == [spark]
+
+
+def test_rows_of_one_file_use_all_cores(spark, monkeypatch):
+    texts = [f"The {i} th word is green." for i in range(40)]
+    parts, keep = {}, Stages.keep
+
+    def seen(self, df, name):
+        out = keep(self, df, name)
+        parts[name] = out.select(F.input_file_name()).distinct().count()
+        return out
+
+    monkeypatch.setattr(Stages, "keep", seen)
+    assert verify(claim(spark, *texts).coalesce(1), corpus(spark, texts).coalesce(1)).count() == 40
+    assert parts["said"] > 4 and parts["chunks"] > 4
+
+
 def test_structured(spark):
     df = spark.createDataFrame([("1", "c", '{"a": {"b": "5M"}}'), ("2", "c", "not json")], "claim_id string, corpus_id string, rec string")
     r = settled(verify_structured(df, "rec", corpus(spark, ["a.b: 5M"]), evaluator=Overlap(), schema="a struct<b:string>"))
