@@ -1,7 +1,9 @@
 """Numbers, ranges, years and conflicts between them."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexicons as lex
 from plumbline.functions import number_columns as nc
 from plumbline.functions import quantities as q
-from plumbline.operators.numeric import check_claims
+from plumbline.operators.numeric import CHUNK_READING, _readings, check_claims
 
 CASES = [
     ("The fee shall not exceed 300% of revenue.", "The fee shall not exceed 30% of revenue.", True, None),
@@ -113,3 +115,25 @@ def test_number_columns_equal_the_readers(spark):
         x = texts[row.i]
         want = (None,) * 4 if x is None else (q.mask_structural(x), q.normalize_accounting(x), q.normalize_european(x), q.contextual_years(x))
         assert tuple(row)[1:] == want, x
+
+
+def test_equal_texts_of_a_batch_are_read_once():
+    read = []
+    texts = ["It rose 5%.", "It fell to 3 kg.", None, "It rose 5%.", "", "It fell to 3 kg."]
+    got = _readings(pa.array(texts, pa.string()), lambda t: read.append(t) or q.read_chunk(t), CHUNK_READING)
+    assert sorted(read) == ["", "It fell to 3 kg.", "It rose 5%."]
+    assert got.to_pylist() == [q.read_chunk(t or "") for t in texts]
+
+
+def test_quick_looks_lose_nothing(monkeypatch):
+    """Texts are read as by the bare patterns, whatever is looked for first."""
+    pieces = "$5 5M 1.234,56 (1,234) 12% to - – and between 2021 FY2024 in 2021-22 half two-thirds million hundred Thousand a billions section 4 part II worldpart IX apart2 STAGE IV [12] v1.2 5°N x5°S ſtage V .5 -.5 to $.5 2-HIGH 3 , \n".split(" ")
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " ", " ", "-"]) for _ in range(draw.randint(1, 8))) for _ in range(4000)]
+    quick = [(q.mask_structural(t), q.read_claim(t), q.read_chunk(t)) for t in texts]
+    always = re.compile("")
+    monkeypatch.setattr(q, "_STRUCTURAL", re.compile("|".join(lex.STRUCTURAL), re.M))
+    monkeypatch.setattr(q, "_RANGE_SIGNS", [always] * 3)
+    for name in ("_SCALE_WORD", "_FOUR_DIGITS"):
+        monkeypatch.setattr(q, name, always)
+    assert quick == [(q.mask_structural(t), q.read_claim(t), q.read_chunk(t)) for t in texts]
